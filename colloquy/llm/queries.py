@@ -1,11 +1,13 @@
 """The subpackage's queries, and the SQL of those that SQL can express."""
 
-from colloquy.llm import decontaminate
+from colloquy.llm import decontaminate, substring_dedup
 
 QUERIES = {
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
 }
 
 ORACLE_SQL = {
+    "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op4_decontaminate": decontaminate.ORACLE_SQL,
 }
