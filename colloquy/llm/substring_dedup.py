@@ -36,7 +36,7 @@ WINDOW = 50
 ANCHOR_WORDS = 8
 
 #: Snippets of one anchor in a block, and words in a shard.
-BLOCK = 512
+BLOCK = 112
 SHARD_WORDS = 200_000
 LEAST_SHARDS = 64
 
