@@ -197,9 +197,9 @@ def jaccard_classes(
     recall: float = RECALL,
     most_hashes: int = MOST_HASHES,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc, text_code, class_id, n_links, n_copies and copy_id.
+    """One row per row of ``docs``: doc, text_code, class_id, class_text, n_links, n_copies and copy_id.
 
-    ``class_id`` is the least id that a chain of links reaches, ``n_links`` the number of other rows
+    ``class_id`` is the least id that a chain of links reaches (``class_text`` the code of that row's text), ``n_links`` the number of other rows
     whose shingle sets are at least ``threshold`` alike, equal ones included; ``copy_id`` is the least id
     with the same set and ``n_copies`` the number of rows with it.  A text of fewer than
     ``shingle`` words is one shingle; null and empty texts have none and link to nothing.  A row without
@@ -239,14 +239,16 @@ def jaccard_classes(
 
     roots = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     degree = linked.groupBy("rep").agg(F.sum("links").alias("links"))
-    ids = classes.join(roots, classes["rep"] == roots["node"], "left").select("set", "rep", "doc", "copies", F.coalesce("root", "rep").alias("root"))
-    least = ids.groupBy("root").agg(F.min("doc").alias("class_id"))
-    told = cut_lineage(ids.join(least, "root").join(degree, "rep", "left").select("set", "class_id", "copies", F.col("doc").alias("copy_id"), F.coalesce("links", F.lit(0)).alias("links")))
+    ids = classes.join(roots, classes["rep"] == roots["node"], "left").select("set", "rep", "doc", "text_code", "copies", F.coalesce("root", "rep").alias("root"))
+    least = ids.groupBy("root").agg(F.min(F.struct("doc", "text_code")).alias("least"))
+    least = least.select("root", F.col("least.doc").alias("class_id"), F.col("least.text_code").alias("class_text"))
+    told = cut_lineage(ids.join(least, "root").join(degree, "rep", "left").select("set", "class_id", "class_text", "copies", F.col("doc").alias("copy_id"), F.coalesce("links", F.lit(0)).alias("links")))
     out = signed.join(told, "set", "left")
     return out.select(
         "doc",
         "text_code",
         F.coalesce("class_id", "doc").alias("class_id"),
+        F.coalesce("class_text", "text_code").alias("class_text"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
         F.coalesce("copy_id", "doc").alias("copy_id"),

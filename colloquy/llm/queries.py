@@ -1,8 +1,9 @@
 """The subpackage's queries, and the SQL of those that SQL can express."""
 
-from colloquy.llm import decontaminate, jaccard_join, substring_dedup, toxicity
+from colloquy.llm import decontaminate, jaccard_join, mixing, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_toxicity": toxicity.op2_toxicity,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
