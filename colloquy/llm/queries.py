@@ -1,8 +1,9 @@
 """The subpackage's queries, and the SQL of those that SQL can express."""
 
-from colloquy.llm import decontaminate, jaccard_join, mixing, substring_dedup, toxicity
+from colloquy.llm import decontaminate, jaccard_join, mixing, substring_dedup, toxicity, warc
 
 QUERIES = {
+    "op8_warc": warc.op8_warc,
     "op1_mixing": mixing.op1_mixing,
     "op2_toxicity": toxicity.op2_toxicity,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
@@ -11,6 +12,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op8_warc": warc.ORACLE_SQL,
     "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op4_decontaminate": decontaminate.ORACLE_SQL,
 }
