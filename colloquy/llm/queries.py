@@ -1,8 +1,9 @@
 """The subpackage's queries, and the SQL of those that SQL can express."""
 
-from colloquy.llm import decontaminate, jaccard_join, mixing, substring_dedup, toxicity, warc
+from colloquy.llm import decontaminate, jaccard_join, mixing, substring_dedup, toxicity, url_filter, warc
 
 QUERIES = {
+    "op5_url_filter": url_filter.op5_url_filter,
     "op8_warc": warc.op8_warc,
     "op1_mixing": mixing.op1_mixing,
     "op2_toxicity": toxicity.op2_toxicity,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_url_filter": url_filter.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
     "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op4_decontaminate": decontaminate.ORACLE_SQL,
