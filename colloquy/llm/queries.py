@@ -1,8 +1,9 @@
 """The subpackage's queries, and the SQL of those that SQL can express."""
 
-from colloquy.llm import decontaminate, jaccard_join, mixing, substring_dedup, toxicity, url_filter, warc
+from colloquy.llm import decontaminate, jaccard_join, mixing, substring_dedup, topk, toxicity, url_filter, warc
 
 QUERIES = {
+    "op6_topk": topk.op6_topk,
     "op5_url_filter": url_filter.op5_url_filter,
     "op8_warc": warc.op8_warc,
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op6_topk": topk.ORACLE_SQL,
     "op5_url_filter": url_filter.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
     "op3_substring_dedup": substring_dedup.ORACLE_SQL,
