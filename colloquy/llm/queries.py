@@ -1,8 +1,9 @@
 """The subpackage's queries, and the SQL of those that SQL can express."""
 
-from colloquy.llm import decontaminate, html_text, jaccard_join, mixing, substring_dedup, topk, toxicity, url_filter, warc
+from colloquy.llm import decontaminate, html_text, jaccard_join, mixing, substring_dedup, topk, toxicity, url_filter, warc, weak_labels
 
 QUERIES = {
+    "op10_quality": weak_labels.op10_quality,
     "op9_html_text": html_text.op9_html_text,
     "op6_topk": topk.op6_topk,
     "op5_url_filter": url_filter.op5_url_filter,
