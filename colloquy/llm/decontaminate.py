@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from colloquy.llm.common import arrow_map, table, utf8
+from colloquy.llm.common import Sent, arrow_map, table, utf8
 
 WINDOW = 10
 
@@ -155,7 +155,7 @@ def find_contamination(
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def one_pass(df: DataFrame, block: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast(matchers(block))
+        sent = Sent(spark, matchers(block))
 
         def scan(batch: pa.RecordBatch):
             n_words, spans, items = [], [], []

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from colloquy.llm.common import arrow_map, slices, table, utf8
+from colloquy.llm.common import Sent, arrow_map, slices, table, utf8
 from colloquy.llm.decontaminate import folded_words
 from colloquy.llm.gru import Network, sigmoid, train
 
@@ -189,8 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     kept = np.arange(len(y)) if learn.all() else np.flatnonzero(~learn)
     calibrates = {found[i][0] for i in kept}
     weight = {k: counts.get(k, 1) / n[k] for k in (0, 1)}
-    ids = picked.sparkSession.sparkContext.broadcast(calibrates)
-    sent = picked.sparkSession.sparkContext.broadcast(network)
+    ids = Sent(picked.sparkSession, calibrates)
+    sent = Sent(picked.sparkSession, network)
     scorer: list = []
 
     def scan(batch: pa.RecordBatch):
@@ -215,7 +215,7 @@ def score_toxicity(docs: DataFrame, model: Model, *, text_col: str = "text", cut
     Null and empty texts score as a window without words.  Columns with the added names are replaced.
     """
     docs = docs.drop("score", "predicted")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Sent(docs.sparkSession, model)
     at = docs.schema.names.index(text_col)
     scorer: list = []
 
