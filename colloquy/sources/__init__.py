@@ -1 +1 @@
-
+"""Files, their texts, and configuration."""

@@ -1 +1 @@
-
+"""Incremental processing and progress."""
