@@ -1,23 +1,24 @@
 """Substring dedup: windows of 50 words that an earlier document has, found with FM-indexes.
 
-Every window has an anchor, the least of its 8-word codes; windows with the same words have the
+Every window has an anchor, the least of its 24-word codes; windows with the same words have the
 same anchor.  A document's windows with one anchor follow each other, and the words they cover
 are a snippet.  So a window can only recur among the snippets of its anchor, and an index need
 not meet texts that share no anchor with it.
 
 1. Each document gives its snippets' anchor, content code and place, but no text.
 2. Anchors of one document only are dropped; of equal snippets the earliest document keeps the
-   only copy to be indexed.
-3. The kept snippets' words go to the shard of their anchor.  A shard builds an FM-index of its
-   snippets and streams them through it: backward search gives each position's longest match in an
-   earlier document, and positions with a match of 50 words or more are windows to remove.
-   An anchor with many different snippets is split into blocks, and each pair of blocks is a
-   shard of its own, so that no task holds more than two blocks of it.
-4. A copy of a kept snippet in a later document is covered whole.  The spans meet their document
-   again, which drops the words.
-
-The texts are shuffled by document once (both joins share the exchange); what is shuffled besides is in proportion to the
-number of snippets, a window's 43rd part on average or twice that, and to the text in repeats.
+   only copy to be indexed, and later documents are covered by it whole.
+3. The kept snippets of anchors that have several go to the shard of their anchor.  A shard builds
+   an FM-index of its snippets and streams them through it: backward search gives each position's
+   longest match in an earlier document, and positions with a match of 50 words or more are
+   windows to remove.  An anchor with many different snippets is split into blocks, and each pair of
+   blocks is a shard of its own, so that no task holds more than two blocks of it.
+4. The spans found meet their document again, which drops the words.
+
+What is shuffled is in proportion to the number of snippets, about two for each 27 words, and to
+the text in repeats.  Whole texts are shuffled only where a snippet is cut from them or a span
+dropped; while the list of such documents is short (its length is checked) it is broadcast, so that
+the others stay where they are, and beyond that all texts meet it in a shuffle.
 """
 
 from __future__ import annotations
@@ -29,17 +30,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from colloquy.llm.common import WordCodes, arrow_map, cut_lineage, doc_key, gram_codes, slices, table, text_key, utf8
+from colloquy.llm.common import WordCodes, arrow_map, cut_lineage, doc_key, gram_codes, slices, table, text_key, utf8, written
+from colloquy.llm.decontaminate import joined
 from colloquy.llm.fm_index import FMIndex
 
 WINDOW = 50
-ANCHOR_WORDS = 8
+ANCHOR_WORDS = 24
 
 #: Snippets of one anchor in a block, and words in a shard.
-BLOCK = 112
+BLOCK = 256
 SHARD_WORDS = 200_000
 LEAST_SHARDS = 64
 
+#: Documents, and spans, of lists that are broadcast: 10 to 30 MB.
+SHORT_LIST = 400_000
+
 #: Windows of a text that are handled at a time.
 STRIP = 1 << 20
 
@@ -99,18 +104,17 @@ def snippet_rows(docs: DataFrame, window: int, k: int) -> DataFrame:
 
 
 def cut_snippets(held: DataFrame, text_at: int, window: int) -> DataFrame:
-    """Word codes of the snippets to index; ``held``: documents with the list of those they hold."""
-    codes_of = WordCodes()
+    """The snippets to index, a row for each shard they go to; ``held``: documents with the list of those they hold."""
     at = held.schema.names.index
 
     def scan(batch: pa.RecordBatch):
         for part in slices(batch.num_rows, 500):
             rows = batch.slice(part.start, part.stop - part.start)
             shards, anchors, contents, docs, roles, words_out = [], [], [], [], [], []
-            for doc, text, kept in zip(rows.column(at("doc")).to_pylist(), utf8(rows.column(text_at)), rows.column(at("kept")).to_pylist(), strict=True):
-                codes = codes_of.of(text.split())
+            for doc, text, kept in zip(rows.column(at("__doc")).to_pylist(), utf8(rows.column(text_at)), rows.column(at("__kept")).to_pylist(), strict=True):
+                words = text.split()
                 for x in kept:
-                    raw = codes[x["first"] : x["last"] + window].tobytes()
+                    raw = b" ".join(words[x["first"] : x["last"] + window])
                     for to in x["to"]:
                         shards.append(to["shard"])
                         roles.append(to["role"])
@@ -129,11 +133,12 @@ def cut_snippets(held: DataFrame, text_at: int, window: int) -> DataFrame:
 
 def search_shard(window: int):
     """Of a shard's rows, those whose role has bit 1 are indexed and those with bit 2 streamed."""
+    codes_of = WordCodes()
 
     def run(rows: pa.Table) -> pa.Table:
         role = rows.column("role").to_numpy()
         docs = rows.column("doc").to_numpy()
-        words = [np.frombuffer(x, np.uint64) for x in rows.column("words").to_pylist()]
+        words = [codes_of.of(x.split()) for x in rows.column("words").to_pylist()]
         indexed, asked = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
         anchors, contents, spans = [], [], []
         if len(indexed) and len(asked):
@@ -154,9 +159,21 @@ def search_shard(window: int):
     return run
 
 
-def drop_words(joined: DataFrame, text_at: int, columns: list) -> DataFrame:
-    """The documents with the words in ``spans`` dropped."""
-    at = joined.schema.names.index
+def merged(spans: DataFrame) -> DataFrame:
+    """The spans of each document in order, those that touch or overlap as one."""
+    at = spans.schema.names.index("__spans")
+
+    def scan(batch: pa.RecordBatch):
+        out = [[{"start": s, "end": e} for s, e in joined((x["start"], x["end"]) for x in own)] for own in batch.column(at).to_pylist()]
+        columns = [pa.array(out, batch.column(i).type) if i == at else batch.column(i) for i in range(batch.num_columns)]
+        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return arrow_map(spans, scan, spans.schema)
+
+
+def drop_words(spanned: DataFrame, text_at: int, columns: list) -> DataFrame:
+    """The documents with the words in ``__spans`` dropped."""
+    at = spanned.schema.names.index
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = StructType([*columns, *StructType.fromDDL(f"n_words long, n_removed long, removed {SPANS}, kept_text string").fields])
     kept_at = [at(f.name) for f in columns]
@@ -165,28 +182,23 @@ def drop_words(joined: DataFrame, text_at: int, columns: list) -> DataFrame:
         for part in slices(batch.num_rows, 1000):
             rows = batch.slice(part.start, part.stop - part.start)
             n_words, n_removed, removed, kept_text = [], [], [], []
-            for text, spans in zip(utf8(rows.column(text_at)), rows.column(at("spans")).to_pylist(), strict=True):
+            for text, spans in zip(utf8(rows.column(text_at)), rows.column(at("__spans")).to_pylist(), strict=True):
                 words = text.split() if text else []
-                done, kept, gone = 0, [], []
-                for s, e in sorted((x["start"], x["end"]) for x in spans or ()):
-                    kept.extend(words[done:s])
-                    if e > done:
-                        if gone and s <= gone[-1]["end"]:
-                            gone[-1]["end"] = e
-                        else:
-                            gone.append({"start": s, "end": e})
-                        done = e
+                done, kept = 0, []
+                for x in spans or ():
+                    kept.extend(words[done : x["start"]])
+                    done = x["end"]
                 kept.extend(words[done:])
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(kept))
-                removed.append(gone)
+                removed.append(spans or [])
                 kept_text.append(b" ".join(kept).decode())
             yield pa.RecordBatch.from_arrays(
                 [*(rows.column(i) for i in kept_at), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, span_type), pa.array(kept_text, pa.string())],
                 names=schema.names,
             )
 
-    return arrow_map(joined, scan, schema)
+    return arrow_map(spanned, scan, schema)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
@@ -200,16 +212,17 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     own = ["n_words", "n_removed", "removed", "kept_text"]
     docs = docs.drop(*own)
     spark = docs.sparkSession
-    keyed = docs.withColumns({"doc": doc_key(id_col), "text_code": text_key(text_col)})
+    keyed = docs.withColumns({"__doc": doc_key(id_col), "__text_code": text_key(text_col)})
     text_at = keyed.schema.names.index(text_col)
-    runs = cut_lineage(snippet_rows(keyed.select("doc", "text_code", text_col), window, min(anchor_words, window)))
+    runs = written(snippet_rows(keyed.select("__doc", "__text_code", text_col), window, min(anchor_words, window)), "snippets")
 
     several = cut_lineage(runs.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor"))
-    shared = cut_lineage(runs.join(several, "anchor"))
+    shared = written(runs.join(several, "anchor"), "snippets-shared")
     held = shared.groupBy("anchor", "content").agg(F.min(F.struct("doc", "text_code", "first", "last")).alias("x"))
     held = cut_lineage(held.select("anchor", "content", "x.*"))
-    per_anchor = cut_lineage(held.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
-    words = held.agg(F.sum(F.col("last") - F.col("first") + window)).first()[0] or 0
+    per_anchor = cut_lineage(held.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    placed = held.join(per_anchor, "anchor")
+    words = placed.agg(F.sum(F.col("last") - F.col("first") + window)).first()[0] or 0
     n_shards = max(-(-words // SHARD_WORDS), LEAST_SHARDS)
 
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
@@ -222,9 +235,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         F.transform(others, lambda i: cell(i, block, 2)),
     )
     one = F.array(F.struct(F.pmod("anchor", F.lit(n_shards)).alias("shard"), F.lit(3).alias("role")))
-    placed = held.join(per_anchor, "anchor", "left").withColumn("to", F.when(F.col("n").isNull(), one).otherwise(cells))
-    kept = placed.groupBy("doc", "text_code").agg(F.collect_list(F.struct("anchor", "content", "first", "last", "to")).alias("kept"))
-    pieces = cut_snippets(keyed.join(kept, ["doc", "text_code"]).select(keyed["*"], "kept"), text_at, window)
+    placed = placed.withColumn("to", F.when(F.col("n") <= BLOCK, one).otherwise(cells))
+    kept = placed.groupBy(F.col("doc").alias("__doc"), F.col("text_code").alias("__text_code")).agg(F.collect_list(F.struct("anchor", "content", "first", "last", "to")).alias("__kept"))
+    kept = written(kept, "snippets-held")
+    holders = kept.select("__doc", "__text_code")
+    texts = keyed.join(F.broadcast(holders), ["__doc", "__text_code"], "left_semi") if kept.count() <= SHORT_LIST else keyed
+    pieces = cut_snippets(texts.join(kept, ["__doc", "__text_code"]).select(*keyed.columns, "__kept"), text_at, window)
     found = pieces.groupBy("shard").applyInArrow(search_shard(window), f"anchor long, content long, found {SPANS}")
     found = cut_lineage(found)
 
@@ -234,9 +250,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     moved = F.transform("found", lambda x: F.struct((x["start"] + F.col("first")).alias("start"), (x["end"] + F.col("first")).alias("end")))
     inside = held.join(found, ["anchor", "content"]).select("anchor", "content", "doc", "found")
     inside = shared.join(inside, ["anchor", "content", "doc"]).select("doc", "text_code", moved.alias("spans"))
-    spans = copies.unionByName(inside).groupBy("doc", "text_code").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    joined = keyed.join(spans, ["doc", "text_code"], "left").select(keyed["*"], "spans")
-    return drop_words(joined, text_at, docs.schema.fields)
+    spans = copies.unionByName(inside).groupBy(F.col("doc").alias("__doc"), F.col("text_code").alias("__text_code"))
+    spans = written(merged(spans.agg(F.flatten(F.collect_list("spans")).alias("__spans"))), "spans")
+    if (spans.agg(F.sum(F.size("__spans"))).first()[0] or 0) <= SHORT_LIST:
+        spans = F.broadcast(spans)
+    spanned = keyed.join(spans, ["__doc", "__text_code"], "left").select(keyed["*"], "__spans")
+    return drop_words(spanned, text_at, docs.schema.fields)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
