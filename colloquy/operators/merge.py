@@ -11,21 +11,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from colloquy.functions.text import joined_content
 from colloquy.schema import MergeError, MergeOptions
 
-BY_DOC = Window.partitionBy("doc_id").orderBy("ord")
-
 #: Seconds of overlap, and of silence, from which neighbours are reported.
 MOST_OVERLAP = 1.0
 MOST_GAP = 10.0
 
 
+def by_doc() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("ord")
+
+
 def continues(options: MergeOptions = MergeOptions()) -> Column:
     """Whether a segment is to be merged with the one before it; false for a document's first."""
-    gap = F.col("start_time") - F.lag("end_time").over(BY_DOC)
-    return F.coalesce((F.lag("speaker").over(BY_DOC) == F.col("speaker")) & (gap <= F.lit(options.time_tolerance)), F.lit(False))
+    gap = F.col("start_time") - F.lag("end_time").over(by_doc())
+    return F.coalesce((F.lag("speaker").over(by_doc()) == F.col("speaker")) & (gap <= F.lit(options.time_tolerance)), F.lit(False))
 
 
 def merge_flags(segments: DataFrame, options: MergeOptions = MergeOptions()) -> DataFrame:
@@ -34,7 +37,7 @@ def merge_flags(segments: DataFrame, options: MergeOptions = MergeOptions()) ->
 
 def split_pairs(segments: DataFrame, options: MergeOptions = MergeOptions()) -> DataFrame:
     """Positions of neighbours that look like one segment cut in two."""
-    place = F.row_number().over(BY_DOC) - 1
+    place = F.row_number().over(by_doc()) - 1
     flagged = segments.select("doc_id", place.cast("long").alias("second"), continues(options).alias("c")).where("c")
     return flagged.select("doc_id", (F.col("second") - 1).alias("first"), "second")
 
@@ -42,7 +45,7 @@ def split_pairs(segments: DataFrame, options: MergeOptions = MergeOptions()) ->
 def islands(segments: DataFrame, options: MergeOptions = MergeOptions()) -> DataFrame:
     """Adds the number of each segment's island within its document, from 1."""
     breaks = F.when(F.col("continues"), 0).otherwise(1)
-    running = F.sum(breaks).over(BY_DOC.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    running = F.sum(breaks).over(by_doc().rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return merge_flags(segments, options).withColumn("island", running).drop("continues")
 
 
@@ -105,8 +108,8 @@ def merge_stats(segments: DataFrame, options: MergeOptions = MergeOptions()) ->
 
 def continuity_errors(segments: DataFrame) -> DataFrame:
     """Overlaps and gaps between neighbours beyond the limits, with a message for each."""
-    place = F.row_number().over(BY_DOC) - 1
-    gap = F.col("start_time") - F.lag("end_time").over(BY_DOC)
+    place = F.row_number().over(by_doc()) - 1
+    gap = F.col("start_time") - F.lag("end_time").over(by_doc())
     found = segments.select("doc_id", place.cast("long").alias("second"), gap.alias("gap")).withColumn("first", F.col("second") - 1)
     overlap = F.format_string("Segment %d and %d have significant overlap: %.2fs", "first", "second", -F.col("gap"))
     silence = F.format_string("Large gap between segment %d and %d: %.2fs", "first", "second", "gap")

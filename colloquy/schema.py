@@ -8,20 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import types as T
-
 DEFAULT_SPEAKER = "unknown"
 DEFAULT_CONFIDENCE = 1.0
 TIME_TOLERANCE = 0.5
 LEAST_DURATION = 0.1
 
-SEGMENT = T.StructType.fromDDL(
-    "doc_id string, ord long, seg_id string, speaker string, start_time double, end_time double, content string, confidence double"
-)
-SPEAKER = T.StructType.fromDDL("ord int, id string, name string, aliases array<string>")
-EVIDENCE = T.StructType.fromDDL(
-    "id string, transcript_id string, segment_ids array<string>, category string, description string, importance string, context_before string, context_after string"
-)
+SEGMENT = "doc_id string, ord long, seg_id string, speaker string, start_time double, end_time double, content string, confidence double"
+SPEAKER = "ord int, id string, name string, aliases array<string>"
+EVIDENCE = "id string, transcript_id string, segment_ids array<string>, category string, description string, importance string, context_before string, context_after string"
 IMPORTANCE = ("HIGH", "MEDIUM", "LOW")
 
 

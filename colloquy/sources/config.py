@@ -94,5 +94,5 @@ def load(path: str | Path | None = None) -> Configuration:
 
     try:
         return parse(yaml.safe_load(found.read_text(encoding="utf-8")) or {})
-    except yaml.YAMLError as e:
+    except (yaml.YAMLError, ValueError) as e:
         raise ConfigurationError(f"{found}: {e}") from e

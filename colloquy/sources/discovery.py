@@ -9,6 +9,7 @@ content column is never read.
 from __future__ import annotations
 
 import fnmatch
+import os.path
 from dataclasses import dataclass
 from datetime import datetime
 from enum import Enum
@@ -87,11 +88,13 @@ def find_files(spark: SparkSession, directory: str, where: FileFilter = FileFilt
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(root) or not fs.getFileStatus(root).isDirectory():
         raise DirectoryNotFoundError(directory)
+    local = fs.getUri().getScheme() == "file"  # the API tells links of other stores only
     rows, folders = [], [root]
     while folders:
         for status in fs.listStatus(folders.pop()):
             path = status.getPath()
-            if fs.getFileLinkStatus(path).isSymlink() and not follow_symlinks:
+            link = os.path.islink(path.toUri().getPath()) if local else status.isSymlink()
+            if link and not follow_symlinks:
                 continue
             if status.isDirectory():
                 if where.recursive:

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from colloquy.functions.text import byte_order_mark, decoded
 
-TEXTS = "doc_id string, text string, encoding string, length long, error string"
 NATIVE = ("utf-8", "utf-8-sig", "utf-16-le", "utf-16-be")
 
 
-@F.pandas_udf("string")
-def decode_legacy(content: pd.Series, encoding: pd.Series) -> pd.Series:
+def decode_legacy(content: Column, encoding: Column) -> Column:
     """For charsets that the JVM expressions don't cover, such as EUC-KR; malformed bytes are replaced."""
-    return pd.Series([None if c is None else bytes(c).decode(e, errors="replace") for c, e in zip(content, encoding, strict=True)], dtype=object)
+
+    @F.pandas_udf(StringType())
+    def decode(content: pd.Series, encoding: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else bytes(c).decode(e, errors="replace") for c, e in zip(content, encoding, strict=True)], dtype=object)
+
+    return decode(content, encoding)
 
 
 def read_texts(spark: SparkSession, files: DataFrame | list[str], encoding: str | None = None) -> DataFrame:
@@ -34,7 +38,7 @@ def read_texts(spark: SparkSession, files: DataFrame | list[str], encoding: str
     name = F.lit(encoding.lower()) if encoding else F.coalesce(byte_order_mark(F.col("content")), F.lit("utf-8"))
     content = content.withColumn("encoding", name)
     if encoding and encoding.lower() not in NATIVE:
-        text = decode_legacy("content", "encoding")
+        text = decode_legacy(F.col("content"), F.col("encoding"))
     else:
         text = decoded(F.col("content"), F.col("encoding"))
     found = content.select(F.regexp_replace("path", "^file:/+", "/").alias("key"), text.alias("text"), "encoding", "n")
