@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import NO_ID, cut_lineage, shared_folder, table
 
 LEAST = 100
+#: Records in a list that is broadcast: some 20 MB.
+SHORT_LIST = 200_000
 #: Every record of an archive carries this date, unless the caller has a column for it.
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -70,9 +72,12 @@ def write_archive(pages: DataFrame, folder: str, *, id_col: str = "page_id", url
     ]
     headers = told.select(F.col("digest"), F.encode(F.concat_ws("\r\n", *lines), "UTF-8").alias("header"))
     headers.write.parquet(f"{folder}/headers")
-    # one row of each digest keeps its payload; the others are few, or at least without theirs
+    # one row of each digest keeps its payload; while the list of others is short no payload moves for it
     others = cut_lineage(told.where(again).select("digest", "rank", (F.col("rank") == F.col("first.rank")).alias("same_id")))
-    kept = rows.join(others.where(~F.col("same_id")).select("digest", "rank").distinct(), ["digest", "rank"], "left_anti")
+    listed = others.where(~F.col("same_id")).select("digest", "rank").distinct()
+    if others.count() <= SHORT_LIST:
+        listed = F.broadcast(listed)
+    kept = rows.join(listed, ["digest", "rank"], "left_anti")
     if others.where("same_id").limit(1).count():
         kept = kept.dropDuplicates(["digest"])
     kept.select("digest", "payload").write.parquet(f"{folder}/payloads")
