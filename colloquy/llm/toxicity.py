@@ -39,6 +39,12 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def read_words(text: bytes | None) -> list[bytes]:
+    """The text's words in lower case; a word that is repeated in a row counts once."""
+    words = folded_words(text)
+    return [w for w, before in zip(words, [None, *words], strict=False) if w != before]
+
+
 def window_starts(n: int, length: int, stride: int) -> np.ndarray:
     if n <= length:
         return np.zeros(1, np.int64)
@@ -134,7 +140,7 @@ class Model:
         self.network, self.calibrator = network, calibrator
 
     def scored(self, scorer: Scorer, texts: list[bytes | None]) -> np.ndarray:
-        return self.calibrator.score(scorer.features([folded_words(t) for t in texts]))
+        return self.calibrator.score(scorer.features([read_words(t) for t in texts]))
 
 
 def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int):
@@ -155,7 +161,7 @@ def bags(picked: DataFrame) -> list[tuple]:
     def scan(batch: pa.RecordBatch):
         out = []
         for text in utf8(batch.column(1)):
-            words = folded_words(text)
+            words = read_words(text)
             starts = window_starts(len(words), LENGTH, STRIDE)
             if len(starts) > BAG:
                 starts = np.sort(np.random.default_rng(len(words)).choice(starts, BAG, replace=False))
@@ -199,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         mine = [i for i, x in enumerate(batch.column(0).cast(pa.string()).to_pylist()) if x in ids.value]
         if mine:
             texts = utf8(batch.column(1))
-            x = scorer[0].features([folded_words(texts[i]) for i in mine])
+            x = scorer[0].features([read_words(texts[i]) for i in mine])
             toxic = [batch.column(2)[i].as_py() for i in mine]
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "x"])
 
