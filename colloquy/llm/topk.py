@@ -24,8 +24,8 @@ from colloquy.llm.common import table
 
 K = 5
 QUERY_BLOCK = 4096
-PAGE = 64
-FAN = 12
+PAGE = 512
+FAN = 8
 #: Slack for distances in floating point, as a part of the largest one.
 SLACK = 1e-9
 
@@ -51,7 +51,7 @@ class MTree:
         self.pages.append(())
         if len(members) <= PAGE or away.max() == away.min() == 0:
             by = np.argsort(away, kind="stable")
-            self.pages[page] = (True, members[by], away[by])
+            self.pages[page] = (True, self.rows[members[by]], self.ids[members[by]], away[by])
             return page
         pivots = self.points[self.rng.choice(members, FAN, replace=False)]
         squares = (pivots**2).sum(axis=1)[None, :] - 2 * self.points[members] @ pivots.T
@@ -80,31 +80,34 @@ class MTree:
                 return np.inf
             return np.sqrt(max(0.0, length + self.limit - 2 * best[0][0])) + slack
 
-        start = np.sqrt(((point - self.points[0]) ** 2).sum())
-        queue = [(0.0, self.root, start)]
+        far = reach()
+        queue = [(0.0, self.root, np.sqrt(((point - self.points[0]) ** 2).sum()))]
         while queue:
             bound, page, away = heapq.heappop(queue)
-            if bound > reach():
+            if bound > far:
                 break
             node = self.pages[page]
             if node[0]:
-                _, members, stored = node
-                near = members[np.abs(away - stored) <= reach()]
-                for i, score in zip(near.tolist(), (self.rows[near] @ query).tolist(), strict=True):
-                    entry = (score, -int(self.ids[i]))
-                    if self.ids[i] != own:
+                _, rows, ids, stored = node
+                # rows stand in the order of their distances: those that the triangle leaves are a slice
+                near = slice(*np.searchsorted(stored, (away - far, away + far + slack)))
+                scores = rows[near] @ query
+                hits = range(len(scores)) if len(best) < k else np.flatnonzero(scores >= best[0][0])
+                for i in hits:
+                    entry = (float(scores[i]), -int(ids[near][i]))
+                    if entry[1] != -own:
                         if len(best) < k:
                             heapq.heappush(best, entry)
                         elif entry > best[0]:
                             heapq.heapreplace(best, entry)
+                far = reach()
             else:
                 _, routings, radii, parents, below = node
-                maybe = np.flatnonzero(np.abs(away - parents) - radii <= reach())
+                maybe = np.flatnonzero(np.abs(away - parents) - radii <= far)
                 distances = np.sqrt(((routings[maybe] - point) ** 2).sum(axis=1))
-                for j, d in zip(maybe.tolist(), distances.tolist(), strict=True):
-                    least = max(bound, d - radii[j])
-                    if least <= reach():
-                        heapq.heappush(queue, (least, below[j], d))
+                least = np.maximum(bound, distances - radii[maybe])
+                for j in np.flatnonzero(least <= far):
+                    heapq.heappush(queue, (float(least[j]), below[maybe[j]], float(distances[j])))
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
