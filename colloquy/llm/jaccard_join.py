@@ -263,3 +263,20 @@ def repeated(signed: DataFrame) -> bool:
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
     found = jaccard_classes(table(spark, sf_dir, "documents"))
     return found.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "class_id", "n_links", "n_copies", "copy_id")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS id,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(ws[i : i + least(5, len(ws)) - 1], ' ') AS g
+      FROM (SELECT rid, ws, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+c AS (SELECT a.rid AS i, b.rid AS j, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY ALL),
+l AS (SELECT i, j, c, x.n AS ni, y.n AS nj FROM c JOIN n x ON x.rid = i JOIN n y ON y.rid = j WHERE 5 * c >= 4 * (x.n + y.n - c)),
+r(a, b) AS (SELECT rid, rid FROM d UNION SELECT r.a, l.j FROM r JOIN l ON l.i = r.b),
+k AS (SELECT a AS rid, min(id) AS class_id FROM r JOIN d ON d.rid = r.b GROUP BY a),
+m AS (SELECT i AS rid, count(*) AS n_links, count(*) FILTER (c = ni AND c = nj) AS same, min(d.id) FILTER (c = ni AND c = nj) AS first FROM l JOIN d ON d.rid = l.j GROUP BY i)
+SELECT doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, (coalesce(same, 0) + 1)::BIGINT AS n_copies, least(coalesce(first, id), id) AS copy_id
+FROM d JOIN k USING (rid) LEFT JOIN m USING (rid)
+"""

@@ -16,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op7_jaccard_join": jaccard_join.ORACLE_SQL,
     "op6_topk": topk.ORACLE_SQL,
     "op5_url_filter": url_filter.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
