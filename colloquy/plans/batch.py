@@ -12,7 +12,7 @@ from colloquy.operators.parse import parse_labelled, parse_timestamped
 from colloquy.operators.transcripts import summaries, violations
 from colloquy.schema import BatchOptions
 from colloquy.sources.discovery import FileFilter, SortOrder, find_files
-from colloquy.sources.reader import read_texts
+from colloquy.sources.reader import read_texts, scan_texts
 
 
 @dataclass(frozen=True)
@@ -71,7 +71,12 @@ def process_files(spark: SparkSession, paths: list[str] | DataFrame, options: Ba
     return process_texts(read_texts(spark, paths, options.encoding), options)
 
 
-def process_directory(spark: SparkSession, directory: str, pattern: str = "*.txt", recursive: bool = False, options: BatchOptions = BatchOptions()) -> Batch:
+def process_directory(
+    spark: SparkSession, directory: str, pattern: str = "*.txt", recursive: bool = False, options: BatchOptions = BatchOptions(), distributed: bool = False
+) -> Batch:
+    """All files of a folder.  ``distributed`` leaves the listing to Spark, for millions of files; empty and hidden ones are then left out."""
+    if distributed:
+        return process_texts(scan_texts(spark, directory, pattern, recursive), options)
     return process_files(spark, find_files(spark, directory, FileFilter(pattern=pattern, recursive=recursive), SortOrder.NAME), options)
 
 
