@@ -58,17 +58,23 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{named.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> str:
+    """Makes a folder and has it removed when the session's JVM ends."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(place)
+    fs.deleteOnExit(place)
+    return path
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, for rows that pack far better by column.
 
     The table goes when the session's JVM ends.
     """
     spark = df.sparkSession
-    path = shared_folder(spark, purpose)
+    path = remove_at_exit(spark, shared_folder(spark, purpose)) + "/table"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

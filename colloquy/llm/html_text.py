@@ -50,6 +50,7 @@ NEVER_NOISE = frozenset("html body article main".split())
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORD = re.compile(r"[a-z0-9]+")
+MAIN_MARK = re.compile(r"""\b(?:role\s*=\s*["']?main\b|itemprop\s*=\s*["']?articleBody\b)""", re.I)
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW_TAGS}
 
 #: Pages in a list of deletions that is broadcast.
@@ -76,11 +77,15 @@ def says_noise(tag: str, attributes: str) -> bool:
     return False
 
 
+def says_main(tag: str, attributes: str) -> bool:
+    return tag in ("article", "main") or bool(MAIN_MARK.search(attributes))
+
+
 def page_lines(text: str) -> list[tuple[str, int]]:
     """The page's blocks of text in order, each with its kind; white space is one space."""
     lines: list[tuple[str, int]] = []
     block: list[str] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, bool]] = []  # (tag, noise, main)
     noise = inside = 0  # open elements of noise, and of article or main
     at, end = 0, len(text)
 
@@ -93,9 +98,9 @@ def page_lines(text: str) -> list[tuple[str, int]]:
 
     def pop() -> None:
         nonlocal noise, inside
-        tag, was_noise = stack.pop()
+        _, was_noise, was_main = stack.pop()
         noise -= was_noise
-        inside -= tag in ("article", "main")
+        inside -= was_main
 
     while at < end:
         found = TAG.search(text, at)
@@ -115,7 +120,7 @@ def page_lines(text: str) -> list[tuple[str, int]]:
             while i >= 0 and stack[i][0] != tag and (tag not in INLINE_TAGS or stack[i][0] in INLINE_TAGS):
                 i -= 1  # an inline element ends within its own block only
             if i >= 0 and stack[i][0] == tag:
-                if any(is_noise for _, is_noise in stack[i:]):
+                if any(x[1] for x in stack[i:]):
                     close_block()
                 while len(stack) > i:
                     pop()
@@ -138,12 +143,13 @@ def page_lines(text: str) -> list[tuple[str, int]]:
         if tag in RAW_TAGS:
             stop = RAW_END[tag].search(text, at)
             at = end if stop is None else stop.start()
-            stack.append((tag, is_noise))
+            stack.append((tag, is_noise, False))
             noise += is_noise
             continue
-        stack.append((tag, is_noise))
+        is_main = says_main(tag, attributes)
+        stack.append((tag, is_noise, is_main))
         noise += is_noise
-        inside += tag in ("article", "main")
+        inside += is_main
     close_block()
     return lines
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import NO_ID, cut_lineage, shared_folder, table
+from colloquy.llm.common import NO_ID, cut_lineage, remove_at_exit, shared_folder, table
 
 LEAST = 100
 #: Records in a list that is broadcast: some 20 MB.
@@ -35,7 +35,7 @@ def one_line(text: Column) -> Column:
 
 
 def write_archive(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST) -> None:
-    """Writes ``pages`` as an archive into ``folder``, which must not exist.
+    """Writes ``pages`` as an archive into ``folder``, which must not hold one.
 
     A null payload is empty; a null url leaves its header out; a row without an id comes after all
     others and is never revisited by rows with one.  Of repeated ids with the same payload the first
@@ -122,7 +122,7 @@ def parsed(archive: DataFrame) -> DataFrame:
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
-    folder = shared_folder(spark, "warc")
+    folder = remove_at_exit(spark, shared_folder(spark, "warc"))
     write_archive(table(spark, sf_dir, "pages"), folder)
     found = parsed(read_archive(spark, folder))
     return found.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

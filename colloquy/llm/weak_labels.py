@@ -184,11 +184,11 @@ def fit_quality(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPLE
         own = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, batch.num_columns)], axis=1)
         found = [features.of(t or b"") for t in utf8(batch.column(0))]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(sent.value.posterior(own)), pa.array([k for k, _ in found], pa.list_(pa.int64())), pa.array([v for _, v in found], pa.list_(pa.float64()))],
+            [pa.array(sent.value.posterior(own)), pa.array([k for k, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))],
             names=["good", "keys", "values"],
         )
 
-    sampled = arrow_map(some, scan, "good double, keys array<long>, values array<double>").toArrow()
+    sampled = arrow_map(some, scan, "good double, keys array<int>, values array<float>").toArrow()
     keys, values = sampled.column("keys").combine_chunks(), sampled.column("values").combine_chunks()
     starts = np.asarray(keys.offsets)
     flat_k, flat_v = np.asarray(keys.values), np.asarray(values.values)

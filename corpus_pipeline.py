@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from colloquy.llm import decontaminate as decontamination
 from colloquy.llm import jaccard_join, mixing, substring_dedup
 from colloquy.llm import toxicity as toxic
-from colloquy.llm.common import cut_lineage, doc_key, shared_folder, table, text_key
+from colloquy.llm.common import cut_lineage, doc_key, remove_at_exit, shared_folder, table, text_key
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = shared_folder(spark, "pipeline")
+    folder = remove_at_exit(spark, shared_folder(spark, "pipeline"))
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
