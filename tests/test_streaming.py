@@ -1,8 +1,10 @@
 import pytest
 
 from colloquy.operators.merge import merge_segments
+from colloquy.operators.parse import parse_labelled
 from colloquy.schema import SEGMENT
 from colloquy.streaming.incremental import merge_stream
+from colloquy.streaming.parsing import PIECE, parse_stream
 from colloquy.streaming.progress import NoActiveFileError, ProgressTracker
 
 
@@ -37,3 +39,18 @@ def test_progress():
         tracker.update_bytes(1)
     with pytest.raises(ValueError):
         ProgressTracker(-1)
+
+
+def test_parsing_pieces_equals_parsing_whole_texts(spark, tmp_path):
+    texts = {"a": "pre\nAnn: Hello,\nhow are you?\nBob: Fine.\n\nlost\nAnn: Good: yes\nBob:\nlate", "b": "no label\nhere\n\n and there \n", "c": "", "d": "X: " + "long " * 50}
+    cuts = [(d, i, t[i : i + 7], False) for d, t in texts.items() for i in range(0, len(t), 7)]
+    cuts += [(d, 10_000, "", True) for d in texts]
+    for part in range(3):
+        rows = [c for c in cuts if (c[1] // 20 if c[1] < 10_000 else 9) in ([0, 1], [2, 3, 4], list(range(5, 50)))[part]]
+        spark.createDataFrame(rows, PIECE).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+    stream = spark.readStream.schema(PIECE).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = parse_stream(stream).writeStream.format("memory").queryName("parsed").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    whole = parse_labelled(spark.createDataFrame(list(texts.items()), "doc_id string, text string"))
+    as_rows = lambda df: sorted(map(str, df.select("doc_id", "ord", "seg_id", "speaker", "start_time", "end_time", "content").collect()))
+    assert as_rows(spark.table("parsed")) == as_rows(whole)
