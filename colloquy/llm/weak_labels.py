@@ -39,11 +39,13 @@ def votes(text: Column) -> dict[str, Column]:
     n = F.length(text)
     words = F.regexp_count(text, F.lit(WORDS))
     share = lambda part: part / F.greatest(n, F.lit(1))
-    letters = share(F.regexp_count(text, F.lit(r"\p{L}")))
-    marks = share(F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s.,;:!?'\"()-]")))
-    upper = F.regexp_count(text, F.lit(r"\p{Lu}")) / F.greatest(F.regexp_count(text, F.lit(r"\p{L}")), F.lit(1))
-    digits = share(F.regexp_count(text, F.lit(r"\p{N}")))
-    mean_word = F.regexp_count(text, F.lit(r"[^ \t-\r]")) / F.greatest(words, F.lit(1))
+    left = lambda dropped: F.length(F.regexp_replace(text, dropped, ""))  # noqa: E731  characters, without an array of them
+    n_letters = left(r"\P{L}+")
+    letters = share(n_letters)
+    marks = share(left(r"[\p{L}\p{N}\s.,;:!?'\"()-]+"))
+    upper = left(r"\P{Lu}+") / F.greatest(n_letters, F.lit(1))
+    digits = share(left(r"\P{N}+"))
+    mean_word = left(r"[ \t-\r]+") / F.greatest(words, F.lit(1))
     stops = F.regexp_count(text, F.lit(r"(?<!\S)[.,]?(the|and|of|to|in|that|is|der|die|und|das|den|mit|le|la|les|des|et|que|el|los|de|en|y)[.,]?(?!\S)")) / F.greatest(words, F.lit(1))
     lines = F.split(text, "\n")
     n_lines = F.size(lines)
