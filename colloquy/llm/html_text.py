@@ -1,15 +1,17 @@
 """Main text of web pages: markup first, then differencing against the page with the nearest URL.
 
 A page becomes lines, a block of text each, of three kinds: in an ``article`` or ``main`` element, in an
-element whose name, role or class says that it is no content, or plain.  Pages of a host are put in
-the order of their URL paths, and a page is paired with that of its two neighbours which shares the longer
-beginning of the path and is not the same page again.  Their lines are aligned by longest common subsequence.
-A plain line that both have belongs to the site and goes.  Lines that the markup calls the article stay,
-since pages may well share passages of it; where it marks an article, the other lines are none of it.
+element whose name, role or class says that it is no content, or plain.  Pages of a host that are equal but
+for lines of no content count as one, under the first of their paths.  These are put in the order of their URL
+paths, and each is paired with that of its two neighbours which shares the longer beginning of the path, or with
+the other if that one has none or all of its plain lines.  Their lines are aligned by longest common subsequence.
+A plain line that both have belongs to the site and goes, from every copy.  Lines that the markup calls the
+article stay, since pages may well share passages of it; where it marks an article, the other lines are none of it.
 
 The order comes from a range partitioning of rows without their html, so a host with a third of all
-pages is spread over many tasks, and neighbours meet by their position in it.  The html itself stays where it
-is, unless the list of lines to delete is long (its length is checked).
+pages is spread over many tasks, and neighbours meet by their position in it.  Copies become one row before that,
+within each task first.  The html itself stays where it is, unless the list of lines to delete is long
+(its length is checked).
 """
 
 from __future__ import annotations
@@ -154,6 +156,10 @@ def page_lines(text: str) -> list[tuple[str, int]]:
     return lines
 
 
+def content_lines(text: str | None) -> list[tuple[str, int]]:
+    return [x for x in page_lines(text or "") if x[1] != NOISE]
+
+
 def common_subsequence(a: list[int], b: list[int]) -> list[int]:
     """Positions of ``a`` in a longest common subsequence with ``b``, by bit-parallel rows."""
     both = set(a) & set(b)
@@ -185,28 +191,30 @@ def common_subsequence(a: list[int], b: list[int]) -> list[int]:
 
 
 def line_rows(pages: DataFrame) -> DataFrame:
-    """page, code, host, path, and the codes and kinds of the page's lines; ``pages``: page, code, host, path, html."""
+    """page, code, host, path, and the codes and kinds of the page's lines but those of no content, with ``same``,
+    which equal ones share; ``pages``: page, code, host, path, html."""
 
     def scan(batch: pa.RecordBatch):
         for part in slices(batch.num_rows, 500):
             rows = batch.slice(part.start, part.stop - part.start)
-            codes, kinds = [], []
+            codes, kinds, same = [], [], []
             for text in rows.column(4).to_pylist():
-                lines = page_lines(text or "")
+                lines = content_lines(text)
                 codes.append(np.array([xxhash.xxh3_64_intdigest(x) for x, _ in lines], np.uint64).view(np.int64))
                 kinds.append(bytes(k for _, k in lines))
+                same.append(xxhash.xxh3_128_digest(codes[-1].tobytes() + kinds[-1]))
             yield pa.RecordBatch.from_arrays(
-                [*(rows.column(i) for i in range(4)), pa.array(codes, pa.list_(pa.int64())), pa.array(kinds, pa.binary())],
-                names=["page", "code", "host", "path", "codes", "kinds"],
+                [*(rows.column(i) for i in range(4)), pa.array(codes, pa.list_(pa.int64())), pa.array(kinds, pa.binary()), pa.array(same, pa.binary())],
+                names=["page", "code", "host", "path", "codes", "kinds", "same"],
             )
 
-    return arrow_map(pages, scan, "page long, code long, host string, path string, codes array<long>, kinds binary")
+    return arrow_map(pages, scan, "page long, code long, host string, path string, codes array<long>, kinds binary, same binary")
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """``rows`` with their place in the order of host, path and page, from 0."""
+    """``rows`` with their place in the order of host, path and content, from 0."""
     spark = rows.sparkSession
-    keys = ["host", "path", "page", "code"]
+    keys = ["host", "path", "same"]
     ordered = rows.repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
     ordered = cut_lineage(ordered.withColumn("at", F.monotonically_increasing_id()))
     part = F.shiftright("at", 33)
@@ -218,50 +226,55 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def shared_lines(rows: DataFrame) -> DataFrame:
-    """page, code and the positions of plain lines to delete, for pages that have any."""
-    order = written(numbered(rows), "page-lines")
+    """host, same and the positions of plain lines to delete, for contents that have any."""
+    contents = rows.where(F.size("codes") > 0).groupBy("host", "same").agg(F.min("path").alias("path"), F.first("codes").alias("codes"), F.first("kinds").alias("kinds"))
+    order = written(numbered(contents), "page-order")
     side = lambda name, step: order.select(
         (F.col("place") + step).alias("place"), *(F.col(c).alias(f"{name}_{c}") for c in ("host", "path", "codes"))
     )
     paired = order.join(side("before", 1), "place", "left").join(side("after", -1), "place", "left")
-    paired = paired.select("page", "code", "host", "path", "codes", "kinds", *(f"{n}_{c}" for n in ("before", "after") for c in ("host", "path", "codes")))
+    paired = paired.select("same", "host", "path", "codes", "kinds", *(f"{n}_{c}" for n in ("before", "after") for c in ("host", "path", "codes")))
 
     def scan(batch: pa.RecordBatch):
-        pages, codes_out, drops = [], [], []
+        hosts, sames, drops = [], [], []
         for row in batch.to_pylist():
             kinds, own = row["kinds"], row["codes"]
+            if MAIN in kinds:
+                continue
             near = []
             for name in ("before", "after"):
-                if row[f"{name}_codes"] is not None and row[f"{name}_host"] == row["host"] and row[f"{name}_codes"] != own:
+                if row[f"{name}_codes"] is not None and row[f"{name}_host"] == row["host"]:
                     near.append((-len(os.path.commonprefix([row["path"], row[f"{name}_path"]])), len(near), row[f"{name}_codes"]))
-            if not near:
-                continue
-            hit = common_subsequence(own, min(near)[2])
-            drop = [i for i in hit if kinds[i] == PLAIN]
-            plain = kinds.count(PLAIN)
-            if drop and MAIN not in kinds and len(drop) < plain:
-                pages.append(row["page"])
-                codes_out.append(row["code"])
-                drops.append(drop)
-        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(codes_out, pa.int64()), pa.array(drops, pa.list_(pa.int64()))], names=["__page", "__code", "__drop"])
+            for _, _, other in sorted(near):
+                drop = common_subsequence(own, other)  # all of its lines are plain
+                if 0 < len(drop) < len(own):
+                    hosts.append(row["host"])
+                    sames.append(row["same"])
+                    drops.append(drop)
+                    break
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(sames, pa.binary()), pa.array(drops, pa.list_(pa.int64()))], names=["host", "same", "__drop"])
+
+    return arrow_map(paired, scan, "host string, same binary, __drop array<long>")
+
 
-    return arrow_map(paired, scan, "__page long, __code long, __drop array<long>")
+def short(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= SHORT_LIST else rows
 
 
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` with ``main_text`` added.
 
     Null and empty html have an empty text.  Pages without a host are neighbours of each other; a page whose
-    neighbours are its copies, and one all of whose plain lines recur, keeps its lines; rows
-    without an id come last among those with the same path.  A column ``main_text`` of ``pages`` is replaced.
+    host has only its copies, and one whose neighbours have all or none of its plain lines, keeps its lines;
+    equal pages of a host have equal texts.  A column ``main_text`` of ``pages`` is replaced.
     """
     pages = pages.drop("main_text")
     code = F.xxhash64(F.coalesce(F.col(url_col), F.lit("")), F.coalesce(F.col(html_col), F.lit("")))
     keyed = pages.withColumns({"__page": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__code": code})
-    rows = line_rows(keyed.select("__page", "__code", host_of(F.col(url_col)), path_of(F.col(url_col)), html_col))
-    drops = written(shared_lines(rows).dropDuplicates(["__page", "__code"]), "page-drops")
-    if drops.count() <= SHORT_LIST:
-        drops = F.broadcast(drops)
+    rows = written(line_rows(keyed.select("__page", "__code", host_of(F.col(url_col)), path_of(F.col(url_col)), html_col)), "page-lines")
+    shared = short(written(shared_lines(rows), "page-shared"))
+    drops = rows.join(shared, ["host", "same"]).select(F.col("page").alias("__page"), F.col("code").alias("__code"), "__drop")
+    drops = short(written(drops.dropDuplicates(["__page", "__code"]), "page-drops"))
     told = keyed.join(drops, ["__page", "__code"], "left").select(*keyed.columns, "__drop")
     html_at, drop_at, names = told.schema.names.index(html_col), len(keyed.columns), pages.columns
 
@@ -270,7 +283,7 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
             own = batch.slice(part.start, part.stop - part.start)
             texts = []
             for text, drop in zip(own.column(html_at).to_pylist(), own.column(drop_at).to_pylist(), strict=True):
-                lines = page_lines(text or "")
+                lines = content_lines(text)
                 gone = set(drop or ())
                 wanted = MAIN if any(k == MAIN for _, k in lines) else PLAIN
                 texts.append(" ".join(x for i, (x, k) in enumerate(lines) if k == wanted and i not in gone))

@@ -242,6 +242,19 @@ def test_html_differencing(spark):
     assert texts(spark, mirror) == {1: "Site name Home same All rights reserved", 2: "Site name Home same All rights reserved"}
 
 
+def test_html_copies_share_their_deletions(spark, monkeypatch):
+    shell = lambda *p, nav="": f"<body><nav>{nav}</nav><div>Site name</div><div>Home</div>" + "".join(f"<p>{x}</p>" for x in p) + "<div>All rights reserved</div></body>"
+    copies = [(10 + i, f"http://h/a/2?ref={i}", shell("second", nav=f"item {i % 3}")) for i in range(7)]
+    rows = [(1, "http://h/a/1", shell("first")), *copies, (None, "http://h/a/2", shell("second")), (3, "http://h/a/3", shell("third")), (4, "http://h/a/2/x", None)]
+    # the nearest page of k/2 has all of its lines, the other one doesn't
+    rows += [(5, "http://k/1", shell("one")), (6, "http://k/2", shell("two")), (7, "http://k/22", shell("two", "more"))]
+    for short_list in (html_text.SHORT_LIST, 0):
+        monkeypatch.setattr(html_text, "SHORT_LIST", short_list)
+        found = texts(spark, rows)
+        assert {found[r[0]] for r in copies} | {found[None]} == {"second"}
+        assert (found[1], found[3], found[4], found[6]) == ("first", "third", "", "two")
+
+
 def test_quality(spark):
     good = [(i, f"The cat of the house {i} sat in the sun and it is warm. It was a day of rest.\nThe end of it came to us.\nAnd that is all of it." * 3, "en", "s", 1) for i in range(60)]
     poor = [(100 + i, "BUY!! NOW!! $$$ ### %%% 12345 " * (5 + i % 3), "en", "s", 1) for i in range(30)]
