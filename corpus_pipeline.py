@@ -41,8 +41,9 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of the benchmark."""
-    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without a window of the benchmark, whether or not its items have ids."""
+    benchmark = table(spark, sf_dir, "benchmark").withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.lit("")))
+    found = decontamination.find_contamination(docs, benchmark)
     return found.where(F.size("spans") == 0).select(docs.columns)
 
 

@@ -74,6 +74,20 @@ def test_rows_without_ids_are_documents_of_their_own(spark, sf_dir):
     assert sorted((r["doc_id"] or -1, r["text"] or "") for r in found) == [(-1, ""), (-1, "other words are here for you"), (3, "a b c d e f g")]
 
 
+def test_rows_without_words_stay(spark, sf_dir):
+    rows = [(None, None), (None, ""), (None, ""), (4, ""), (4, None), (5, " \n"), (5, " \n"), (3, "a b c d e f g"), (3, "a b c d e f g")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    found = pipeline.near_duplicates(spark, docs, sf_dir).collect()
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in found) == sorted((i or -1, t or "") for i, t in rows[:-1])
+
+
+def test_decontaminate_stage_knows_items_without_ids(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten eleven"
+    spark.createDataFrame([(None, item), (None, "other words"), (1, "alpha beta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate((f"so {item} it is", "clean text", "an alpha beta", "the other words"))], DOCS)
+    assert [r["doc_id"] for r in pipeline.decontaminate(spark, docs, str(tmp_path)).collect()] == [1]
+
+
 def test_substring_stage(spark, sf_dir):
     docs = corpus(spark, sf_dir)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
