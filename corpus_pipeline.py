@@ -22,14 +22,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links connect, the row with the least id (one of them, if several are equal)."""
+    """Of each group that links connect, the row with the least id (one of them, if several are equal).
+
+    A text without words links to nothing, so every row that has one stays.
+    """
     classes = jaccard_join.jaccard_classes(docs)
     kept = classes.where("doc = class_id and text_code = class_text")
     kept = cut_lineage(kept.groupBy("doc", "text_code").agg(F.count("*").alias("n")))
     keyed = docs.withColumns({"__doc": doc_key(), "__text_code": text_key()})
     found = keyed.join(kept.select(F.col("doc").alias("__doc"), F.col("text_code").alias("__text_code")), ["__doc", "__text_code"], "left_semi")
     if kept.where("n > 1").limit(1).count():
-        found = found.dropDuplicates(["__doc", "__text_code"])
+        wordless = F.coalesce(F.col("text"), F.lit("")).rlike(r"^[ \t-\r]*$")
+        found = found.where(wordless).unionByName(found.where(~wordless).dropDuplicates(["__doc", "__text_code"]))
     return found.select(docs.columns)
 
 
