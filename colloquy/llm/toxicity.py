@@ -1,12 +1,12 @@
 """Toxicity scores: a recurrent network over all overlapping windows of a text.
 
-The network (``gru``) reads windows of ``LENGTH`` words, each beginning half a window after the one
-before; the last ends with the text.  A text's features are its highest window logit, the mean of
+The network (``gru``) reads windows of ``LENGTH`` words, one from every word of a text that has
+a whole window before its end.  A text's features are its highest window logit, the mean of
 its three highest and the number of windows, and a logistic unit, fitted on labelled texts that the
 network was not trained on, turns them into a probability under the labels' own share of toxic ones.
 
 Fitting takes a bounded sample of labelled rows: at most ``SAMPLE`` of either label, and of each text at
-most ``BAG`` windows for the network.  Scoring covers every window of every text, in the task
+most ``BAG`` windows for the network, ``STRIDE`` words apart.  Scoring covers every window of every text, in the task
 that reads it.
 """
 
@@ -32,6 +32,8 @@ CUT = 0.3
 #: Words whose gate inputs a worker keeps, and windows in a pass through the network.
 VOCABULARY = 150_000
 PASS = 4_096
+#: Bytes of text whose windows are laid out at once, if not of one longer text.
+PART = 400_000
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -80,7 +82,7 @@ class Scorer:
     def features(self, texts: list[list[bytes]]) -> np.ndarray:
         """(highest window logit, mean of the three highest, log of the windows' number) of each text."""
         rows = [r if len(r) else np.zeros(1, np.int64) for r in self.rows(texts)]
-        starts = [window_starts(len(r), LENGTH, STRIDE) for r in rows]
+        starts = [window_starts(len(r), LENGTH, 1) for r in rows]
         of = np.repeat(np.arange(len(rows)), [len(s) for s in starts])
         logits = np.empty(len(of), np.float32)
         flat = np.concatenate(rows)
@@ -107,6 +109,19 @@ class Scorer:
         return np.stack([top, three, np.log(counts)], axis=1).astype(np.float64)
 
 
+def parts(texts: list[bytes | None]) -> list[list[bytes | None]]:
+    """The texts in lists of at most ``PART`` bytes, or of one text."""
+    out: list[list[bytes | None]] = []
+    size = PART + 1
+    for text in texts:
+        size += len(text or b"")
+        if size > PART or len(out[-1]) == 400:
+            out.append([])
+            size = len(text or b"")
+        out[-1].append(text)
+    return out
+
+
 class Calibrator:
     """Logistic unit over standardised features, with a ridge."""
 
@@ -205,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         mine = [i for i, x in enumerate(batch.column(0).cast(pa.string()).to_pylist()) if x in ids.value]
         if mine:
             texts = utf8(batch.column(1))
-            x = scorer[0].features([read_words(texts[i]) for i in mine])
+            x = np.concatenate([scorer[0].features([read_words(t) for t in part]) for part in parts([texts[i] for i in mine])])
             toxic = [batch.column(2)[i].as_py() for i in mine]
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "x"])
 
@@ -229,7 +244,7 @@ def score_toxicity(docs: DataFrame, model: Model, *, text_col: str = "text", cut
         if not scorer:
             scorer.append(Scorer(sent.value.network))
         texts = utf8(batch.column(at))
-        scores = np.concatenate([sent.value.scored(scorer[0], texts[part]) for part in slices(len(texts), 400)])
+        scores = np.concatenate([sent.value.scored(scorer[0], part) for part in parts(texts)])
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(scores, pa.float64()), pa.array((scores >= cut).astype(np.int32), pa.int32())],
             names=[*batch.schema.names, "score", "predicted"],

@@ -2,6 +2,7 @@
 
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +143,25 @@ def test_toxicity_learns_and_handles_edges(spark):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_scores_every_window(spark):
+    class Heard:  # a window's logit is high only if it begins with this word's row
+        h = 1
+
+        def projected(self, words):
+            return np.array([[float(w == b"first")] * 6 for w in words], np.float32)
+
+        def logits(self, gates, mask):
+            return gates[0, :, 0]
+
+    for at in (0, 5, 12, 35):
+        words = [b"w%d" % i for i in range(60)]
+        words[at] = b"first"
+        found = toxicity.Scorer(Heard()).features([words, words[:3]])
+        assert found[0, 0] == 1 and found[0, 2] == pytest.approx(np.log(60 - toxicity.LENGTH + 1))
+    assert [len(p) for p in toxicity.parts([None, b"x" * toxicity.PART, b"y", b"z"])] == [2, 2]
+    assert toxicity.parts([]) == []
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark)
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
