@@ -9,7 +9,8 @@
 4. A linear scorer over hashed features (words, word shapes, characters and their statistics) is trained on
    a bounded sample of texts with their posteriors, and scores every text whole.
 
-The sample has at most ``SAMPLE`` texts, those with the least hashes; the scorer's weights are fixed in size.
+The sample has at most ``SAMPLE`` different texts, those with the least hashes, each weighted by its number of
+rows up to ``MOST``; the scorer's weights are fixed in size.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql.types import StructType
 from colloquy.llm.common import Sent, arrow_map, cut_lineage, slices, table, utf8
 
 SAMPLE = 6_000
+MOST = 4  # rows that a text of the sample counts as
 BUCKETS = 1 << 16
 EPOCHS = 6
 KEEP = 0.5
@@ -150,15 +152,15 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.weights[found[0]] @ found[1], -30, 30))))
 
 
-def train_scorer(examples: list[tuple[np.ndarray, np.ndarray]], posteriors: np.ndarray, epochs: int = EPOCHS, rate: float = 0.5, seed: int = 9) -> Scorer:
-    """Logistic regression on soft labels by Adagrad."""
+def train_scorer(examples: list[tuple[np.ndarray, np.ndarray]], posteriors: np.ndarray, counts: np.ndarray, epochs: int = EPOCHS, rate: float = 0.5, seed: int = 9) -> Scorer:
+    """Logistic regression on soft labels by Adagrad; an example weighs as much as its count."""
     rng = np.random.default_rng(seed)
     weights, seen = np.zeros(BUCKETS), np.full(BUCKETS, 1e-3)
     for _ in range(epochs):
         for i in rng.permutation(len(examples)):
             keys, values = examples[i]
             slope = 1 / (1 + np.exp(-np.clip(weights[keys] @ values, -30, 30))) - posteriors[i]
-            g = slope * values + 1e-5 * weights[keys]
+            g = counts[i] * slope * values + 1e-5 * weights[keys]
             seen[keys] += g * g
             weights[keys] -= rate * g / np.sqrt(seen[keys])
     return Scorer(weights)
@@ -176,28 +178,38 @@ def fit_quality(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPLE
     patterns = np.array([[r[c] for c in names] for r in rows])
     model = VoteModel(patterns, np.array([float(r["n"]) for r in rows]))
     n = sum(r["n"] for r in rows)
-    code = F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.lit(1 << 40))
-    # a hash cut that takes about as many as wanted; the limit bounds it
-    some = told.where(code < int(min(1.0, 1.2 * sample / n) * (1 << 40))).limit(sample) if n > sample else told
+    code = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    place = F.pmod("code", F.lit(1 << 40))
     sent = Sent(spark, model)
 
     def scan(batch: pa.RecordBatch):
         features = Features()
-        own = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, batch.num_columns)], axis=1)
+        own = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, batch.num_columns)], axis=1)
         found = [features.of(t or b"") for t in utf8(batch.column(0))]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(sent.value.posterior(own)), pa.array([k for k, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))],
-            names=["good", "keys", "values"],
+            [batch.column(2), pa.array(sent.value.posterior(own)), pa.array([k for k, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))],
+            names=["n", "good", "keys", "values"],
         )
 
-    sampled = arrow_map(some, scan, "good double, keys array<int>, values array<float>").toArrow()
+    def least(share: float) -> pa.Table:
+        """Of the texts whose hashes lie in this share of all, the ``sample`` least."""
+        some = told.withColumn("code", code).where(place < int(share * (1 << 40)))
+        some = some.groupBy("code").agg(F.first("text").alias("text"), F.least(F.count("*"), F.lit(MOST)).alias("n"), *(F.first(c).alias(c) for c in names))
+        some = some.orderBy(place, "code").limit(sample).select("text", "code", "n", *names)
+        return arrow_map(some, scan, "n long, good double, keys array<int>, values array<float>").toArrow()
+
+    share = min(1.0, 1.5 * sample / n)
+    sampled = least(share)
+    while sampled.num_rows < sample and share < 1:  # many copies: fewer texts than rows
+        share = min(1.0, share * min(8.0, 1.5 * sample / max(1, sampled.num_rows)))
+        sampled = least(share)
     keys, values = sampled.column("keys").combine_chunks(), sampled.column("values").combine_chunks()
     starts = np.asarray(keys.offsets)
     flat_k, flat_v = np.asarray(keys.values), np.asarray(values.values)
     examples = [(flat_k[a:b], flat_v[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
     good = sampled.column("good").to_numpy()
     order = np.lexsort(([float(v.sum()) for _, v in examples], good))  # the same order wherever rows came from
-    return model, train_scorer([examples[i] for i in order], good[order])
+    return model, train_scorer([examples[i] for i in order], good[order], sampled.column("n").to_numpy()[order])
 
 
 def score_quality(docs: DataFrame, scorer: Scorer, *, text_col: str = "text", keep: float = KEEP) -> DataFrame:

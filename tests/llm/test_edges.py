@@ -285,3 +285,17 @@ def test_quality(spark):
     assert not any(found[100 + i] for i in range(30))
     assert weak_labels.score_quality(docs.limit(0), scorer).count() == 0
     assert weak_labels.fit_quality(docs.limit(0))[0] is None
+
+
+def test_quality_learns_from_different_texts(spark, monkeypatch):
+    rows = [(i, f"The cat of the house {i} sat in the sun and it is warm." if i % 2 else f"BUY!! {i} NOW!! $$$ ### %%% 12345", "en", "s", 1) for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    taken = []
+    train = weak_labels.train_scorer
+    monkeypatch.setattr(weak_labels, "train_scorer", lambda examples, good, counts: taken.append((sorted(float(v.sum()) for _, v in examples), sorted(counts))) or train(examples, good, counts))
+    crowd = docs.where("doc_id in (0, 1, 2)").crossJoin(spark.range(700).select(F.col("id").alias("copy"))).drop("copy")
+    for table in (docs.unionByName(crowd), docs.unionByName(crowd).repartition(7)):
+        weak_labels.fit_quality(table, sample=20)
+    assert len(taken[0][0]) == 20 and taken[0] == taken[1]
+    weak_labels.fit_quality(docs.unionByName(crowd), sample=60)
+    assert taken[2][1] == [1] * 37 + [weak_labels.MOST] * 3
