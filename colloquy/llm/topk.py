@@ -115,7 +115,7 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     lengths = np.asarray(column.value_lengths())
     flat = np.asarray(column.flatten())
     if len(lengths) and (lengths == width).all():
-        return flat.reshape(-1, width)
+        return flat.reshape(len(lengths), width)
     out = np.zeros((len(lengths), width), flat.dtype)
     out[np.arange(width)[None, :] < lengths[:, None]] = flat
     return out
@@ -126,22 +126,23 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, *, id_col: str = "vec
 
     Both tables have an id and an array<long> column; ties go to the smaller id, and a row with the
     query's id is none of its results.  Rows without an id or a vector take no part; a shorter vector counts
-    as if it ended in zeros; of queries with the same id one is taken, while repeated rows are rows
-    each.  Products must stay below 2 to the power 53 in size.
+    as if it ended in zeros; repeated rows are rows each, and repeated queries share the ranks of their id,
+    each with results of its own.  Products must stay below 2 to the power 53 in size.
     """
     spark = rows.sparkSession
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
-    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null").dropDuplicates(["id"])
+    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
+    asked = asked.groupBy("id", "v").agg(F.least(F.count("*"), F.lit(k)).alias("copies"))  # k ranks hold no more
     n_blocks = max(1, -(-asked.count() // query_block))
     parts = []
     for block in range(n_blocks):
-        own = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block).toArrow()
+        own = asked.where(F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks)) == block).toArrow()
         width = max([0, *own.column("v").combine_chunks().value_lengths().to_pylist()])
         vectors = matrix(own.column("v").combine_chunks(), width).astype(np.float64)
-        sent = spark.sparkContext.broadcast((own.column("id").to_numpy(), vectors))
+        sent = spark.sparkContext.broadcast((own.column("id").to_numpy(), vectors, own.column("copies").to_numpy()))
 
         def scan(batches, sent=sent):
-            ids, vectors = sent.value
+            ids, vectors, copies = sent.value
             best: list[list] = [[] for _ in ids]
             for batch in batches:
                 if not batch.num_rows:
@@ -153,7 +154,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, *, id_col: str = "vec
                 wide[:, : vectors.shape[1]] = vectors
                 for i in range(len(ids)):
                     tree.search(wide[i], int(ids[i]), k, best[i])
-            found = [(int(q), -x, int(score)) for q, heap in zip(ids, best, strict=True) for score, x in heap]
+            found = [(int(q), -x, int(score)) for q, heap, n in zip(ids, best, copies, strict=True) for score, x in heap for _ in range(n)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
 

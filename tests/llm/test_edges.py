@@ -201,6 +201,16 @@ def test_topk(spark):
     assert topk.top_k(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_topk_asks_each_of_repeated_queries(spark, duck):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (50, [1.0, 1.0]), (50, [1.0, 1.0]), *((i, [i / 16, 1 - i / 16]) for i in range(1, 9)), (3, [0.5, 0.25])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = topk.whole_numbers(table)
+    expected = duck.execute(topk.ORACLE_SQL.replace("FROM embeddings", "FROM (VALUES " + ", ".join(f"({i}::BIGINT, {v}::DOUBLE[])" for i, v in rows) + ") t(vec_id, embedding)")).fetchall()
+    for query_block in (1, 100):
+        found = topk.top_k(whole, whole.where("vec_id % 50 = 0"), query_block=query_block)
+        assert sorted(tuple(r) for r in found.collect()) == sorted(expected)
+
+
 def test_warc_round_trip(spark, tmp_path):
     same = "<p>" + "x" * 200
     rows = [(5, "http://a/\r\nX: y", same), (2, "http://b/", same), (9, None, same), (1, "u", "short"), (3, "u", "short"), (4, "v", None), (6, "v", ""), (None, "w", same), (7, "ü", "é" * 60), (2, "http://again/", same)]
