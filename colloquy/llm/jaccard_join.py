@@ -4,12 +4,16 @@
    with the same set are one class from here on, so that copies cost a row each and no pairs.
 2. Classes meet on their band hashes.  A bucket links its classes to its least one, not to each
    other, and connected buckets form candidate clusters: a pair that shares a band lies in one.
-3. The clusters' texts are shuffled once more as shingle sets.  A cluster is cut into blocks, and each
-   pair of blocks is a task's group: sets become bit rows over the shingles that two or more of them
-   share, and the intersections of all pairs are counted as bits.  So every pair of a cluster is
-   verified exactly, but no pair ever becomes a row: a group gives each class its number of links and one
-   link towards its component.
-4. Components of verified links give the class id of each document.
+3. The clusters' texts are shuffled once more as shingle sets.  A cluster within the limits of a block is
+   verified as a whole.  A larger one is cut into blocks: classes under the same least bucket-mate (a star)
+   stay together, large stars are cut up and small ones packed.  Two blocks meet in a cell only if they share a
+   bucket, and a class goes to a cell only if one of its own buckets reaches the other block.  So clusters
+   that chance collisions chain together cost what their buckets hold, not the square of their size.
+4. In a cell all pairs are counted exactly, over shingles that two or more sets share, and each pair lies in one
+   cell.  No pair ever becomes a row: a cell gives each class its number of links and the least class of its
+   component there.  These are aggregated by class before anything is joined, so that links
+   towards the components are one for each class and one for each of the cells' least classes.
+5. Components of verified links give the class id of each document.
 
 ``rows_and_bands`` takes the most rows a band with which the recall of a pair just at the threshold
 reaches the target within the number of hashes allowed; at 0.8 that is 6 rows and 23 bands, which miss
@@ -23,7 +27,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import NO_ID, WordCodes, arrow_map, cut_lineage, doc_key, gram_codes, mix, slices, table, text_key, utf8
@@ -34,9 +38,13 @@ THRESHOLD = (4, 5)  # as a fraction: decided in whole numbers
 RECALL = 0.999
 MOST_HASHES = 144
 
-#: Classes and shingles in a block at most (a longer text is a block of its own).
-BLOCK = 112
-BLOCK_SHINGLES = 100_000
+#: Classes and shingles that a block has on the average at most.
+BLOCK = 1024
+BLOCK_SHINGLES = 400_000
+
+#: Sets that share a shingle: up to here they are counted as pairs, beyond as bits, so many shingles at a time.
+FEW = 16
+BIT_COLUMNS = 4096
 
 #: Shingles in a group of whole clusters, and the least number of such groups.
 GROUP_SHINGLES = 500_000
@@ -98,32 +106,49 @@ def signatures(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
     return arrow_map(docs, scan, "doc long, text_code long, set binary, size long, bands array<long>")
 
 
-def intersections(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Common bits of each row of a with each row of b."""
-    out = np.zeros((len(a), len(b)), np.int64)
-    for i in range(len(a)):
-        out[i] = np.bitwise_count(a[i] & b).sum(axis=1, dtype=np.int64)
-    return out
-
-
-def bit_rows(sets: list[np.ndarray]) -> np.ndarray:
-    """The sets as rows of bits over the shingles that at least two of them have."""
-    words, where = np.unique(np.concatenate(sets), return_inverse=True)
-    often = np.bincount(where) > 1
+def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Shingles that each of the rows ``left`` of ``sets`` has in common with each of the rows ``right``."""
+    n = len(sets)
+    where = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(where, kind="stable")
+    row, where = row[order], where[order]
+    counts = np.bincount(where)
+    first = np.cumsum(counts) - counts
+    pairs = [np.empty(0, np.int64)]
+    for d in range(2, FEW + 1):
+        owners = row[first[counts == d][:, None] + np.arange(d)]  # a line for each shingle that d sets share
+        for i in range(d - 1):
+            pairs.append((owners[:, i, None] * n + owners[:, i + 1 :]).ravel())
+    place = np.full((2, n), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    out = np.zeros(len(left) * len(right), np.int64)
+    pairs = np.concatenate(pairs)
+    for x, y in ((pairs // n, pairs % n), (pairs % n, pairs // n)):
+        x, y = place[0, x], place[1, y]
+        inside = (x >= 0) & (y >= 0)
+        out += np.bincount(x[inside] * len(right) + y[inside], minlength=len(out))
+    out = out.reshape(len(left), len(right))
+    often = counts > FEW
     column = np.cumsum(often) - 1
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    keep = often[where]
-    width = -(-int(often.sum()) // 64) or 1
-    bits = np.zeros((len(sets), width * 64), bool)
-    bits[row[keep], column[where[keep]]] = True
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    row, where = row[often[where]], column[where[often[where]]]
+    for strip in slices(int(often.sum()), BIT_COLUMNS):
+        own = slice(*np.searchsorted(where, (strip.start, strip.stop)))
+        bits = np.zeros((n, BIT_COLUMNS), bool)
+        bits[row[own], where[own] - strip.start] = True
+        words = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+        b = words[right]
+        for i, x in enumerate(words[left]):
+            out[i] += np.bitwise_count(x & b).sum(axis=1, dtype=np.int64)
+    same = np.intersect1d(left, right)  # a row has all of its own shingles, also those of no other
+    out[place[0, same], place[1, same]] = [len(sets[i]) for i in same]
+    return out
 
 
 def verified(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
     """Which pairs of the rows ``left`` and ``right`` of ``sets`` reach the threshold."""
-    bits = bit_rows(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    common = intersections(bits[left], bits[right])
+    common = common_counts(sets, left, right)
     union = sizes[left][:, None] + sizes[right][None, :] - common
     return common * threshold[1] >= union * threshold[0]
 
@@ -176,7 +201,7 @@ def link_group(threshold: tuple[int, int]):
 def shingle_rows(clustered: DataFrame, text_at: int, k: int) -> DataFrame:
     codes_of = WordCodes()
     at = clustered.schema.names.index
-    names = ["cluster", "rep", "copies", "size"]
+    names = ["cluster", "rep", "copies", "block", "others"]
 
     def scan(batch: pa.RecordBatch):
         for part in slices(batch.num_rows, 500):
@@ -184,7 +209,52 @@ def shingle_rows(clustered: DataFrame, text_at: int, k: int) -> DataFrame:
             sets = [shingle_set(t.split(), codes_of, k).tobytes() for t in utf8(rows.column(text_at))]
             yield pa.RecordBatch.from_arrays([*(rows.column(at(n)) for n in names), pa.array(sets, pa.binary())], names=[*names, "shingles"])
 
-    return arrow_map(clustered, scan, "cluster long, rep long, copies long, size long, shingles binary")
+    return arrow_map(clustered, scan, "cluster long, rep long, copies long, block long, others array<long>, shingles binary")
+
+
+def bucket_members(classes: DataFrame) -> DataFrame:
+    """rep, bucket and the bucket's least rep, for buckets of two classes or more."""
+    every = classes.select("rep", F.posexplode("bands").alias("band", "hash"))
+    full = every.groupBy("band", "hash").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").drop("most")
+    return every.join(cut_lineage(full), ["band", "hash"]).select("rep", F.xxhash64("band", "hash").alias("bucket"), "least")
+
+
+def in_blocks(members: DataFrame, most: int, most_shingles: int) -> DataFrame:
+    """Adds ``block`` to the members of clusters that are too large for one; it is null for others."""
+    needed = lambda: F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("size") / most_shingles)).cast("long")
+    large = cut_lineage(members.groupBy("cluster").agg(needed().alias("blocks")).where("blocks > 1").select("cluster"))
+    stars = members.join(large, "cluster", "left_semi").groupBy("cluster", "star").agg(needed().alias("blocks"), F.count("*").alias("m"), F.sum("size").alias("total"))
+    stars = cut_lineage(stars)
+    packed = F.greatest(F.ceil(F.sum("m") / most), F.ceil(F.sum("total") / most_shingles)).cast("long")
+    packed = stars.where("blocks = 1").groupBy("cluster").agg(packed.alias("packs"))
+    stars = stars.select("cluster", "star", "blocks").join(packed, "cluster", "left")
+    cut = F.xxhash64(F.lit(1), "cluster", "star", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    pack = F.xxhash64(F.lit(2), "cluster", F.pmod(F.xxhash64("star"), F.col("packs")))
+    block = F.when(F.col("blocks") > 1, cut).when(F.col("blocks") == 1, pack)
+    return members.join(stars, ["cluster", "star"], "left").withColumn("block", block).drop("blocks", "packs", "star")
+
+
+def cells_of(held: DataFrame, members: DataFrame) -> DataFrame:
+    """rep and ``others``: the blocks, but its own, that the buckets of a class reach.
+
+    A bucket tells its list of blocks by the list's code: large stars have many buckets with the same list, and a
+    class takes each list once.
+    """
+    placed = members.where("block is not null").select("rep", "block")
+    lists = held.join(placed, "rep").select("bucket", "block").distinct().groupBy("bucket").agg(F.array_sort(F.collect_list("block")).alias("blocks"))
+    lists = cut_lineage(lists.where(F.size("blocks") > 1).withColumn("list", F.xxhash64("blocks")))
+    taken = held.join(lists.select("bucket", "list"), "bucket").select("rep", "list").distinct()
+    reached = taken.join(lists.select("list", "blocks").dropDuplicates(["list"]), "list").groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
+    reached = reached.join(placed, "rep").select("rep", F.filter("blocks", lambda b: b != F.col("block")).alias("others"))
+    return cut_lineage(reached.where(F.size("others") > 0))
+
+
+def root_links(linked: DataFrame) -> DataFrame:
+    """a and b: each class with the least root that its cells gave it, and that root with their other roots."""
+    least = F.min("root").over(Window.partitionBy("rep"))
+    told = linked.select("rep", "root", least.alias("least"))
+    links = told.select(F.explode(F.array(F.struct(F.col("rep").alias("a"), F.col("least").alias("b")), F.struct(F.col("root").alias("a"), F.col("least").alias("b")))).alias("x"))
+    return links.select("x.*").where("a <> b").distinct()
 
 
 def jaccard_classes(
@@ -196,6 +266,8 @@ def jaccard_classes(
     threshold: tuple[int, int] = THRESHOLD,
     recall: float = RECALL,
     most_hashes: int = MOST_HASHES,
+    block: int = BLOCK,
+    block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """One row per row of ``docs``: doc, text_code, class_id, class_text, n_links, n_copies and copy_id.
 
@@ -213,31 +285,27 @@ def jaccard_classes(
     )
     classes = cut_lineage(classes.select("set", F.xxhash64("set").alias("rep"), F.col("x.doc").alias("doc"), F.col("x.text_code").alias("text_code"), "copies", "size", "bands"))
 
-    buckets = classes.select("rep", F.posexplode("bands").alias("band", "hash"))
-    full = cut_lineage(buckets.groupBy("band", "hash").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").drop("most"))
-    near = buckets.join(full, ["band", "hash"]).where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    clusters = components(near)
-
-    members = classes.join(clusters, classes["rep"] == clusters["node"]).select("doc", "text_code", "rep", "copies", "size", F.col("root").alias("cluster"))
-    members = cut_lineage(members)
-    held = keyed.dropDuplicates(["doc", "text_code"]) if repeated(signed) else keyed
-    sets = shingle_rows(held.join(members, ["doc", "text_code"]), 2, shingle)
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("size").alias("total"))
-    sizes = cut_lineage(sizes.select("cluster", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("long").alias("blocks")).where("blocks > 1"))
-    blocks = F.coalesce("blocks", F.lit(1).cast("long"))
-    block = F.pmod(F.xxhash64("rep"), blocks)
-    cells = F.transform(
-        F.sequence(F.lit(0).cast("long"), blocks - 1), lambda i: F.struct(F.least(i, block).alias("cell_a"), F.greatest(i, block).alias("cell_b"))
-    )
-    dealt = sets.join(sizes, "cluster", "left").select("cluster", "rep", "copies", "shingles", block.alias("block"), F.explode(cells).alias("cell"), blocks.alias("blocks"))
-    dealt = dealt.select("cluster", "rep", "copies", "shingles", "block", "cell.*", "blocks")
-    n_groups = max(LEAST_GROUPS, (members.agg(F.sum("size")).first()[0] or 0) // GROUP_SHINGLES)
+    held = cut_lineage(bucket_members(classes))
+    clusters = components(held.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
+    stars = held.groupBy("rep").agg(F.min("least").alias("star"))
+    members = classes.join(clusters.withColumnRenamed("node", "rep"), "rep").join(stars, "rep")
+    members = cut_lineage(in_blocks(members.select("doc", "text_code", "rep", "copies", "size", F.col("root").alias("cluster"), "star"), block, block_shingles))
+    members = members.join(cells_of(held, members), "rep", "left")
+    apart = keyed.dropDuplicates(["doc", "text_code"]) if repeated(signed) else keyed
+    sets = shingle_rows(apart.join(members, ["doc", "text_code"]), 2, shingle)
+
+    total = members.where("block is null").agg(F.sum("size")).first()[0] or 0
+    n_groups = max(LEAST_GROUPS, total // GROUP_SHINGLES)
     whole = F.pmod(F.xxhash64("cluster"), F.lit(n_groups)).cast("long")
-    cell = F.lit(-1).cast("long") - F.pmod(F.xxhash64("cluster", "cell_a", "cell_b"), F.lit(1 << 40))
-    linked = dealt.withColumn("group", F.when(F.col("blocks") == 1, whole).otherwise(cell)).groupBy("group").applyInArrow(link_group(threshold), "rep long, root long, links long, texts long")
-    linked = cut_lineage(linked)
-
-    roots = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    cell = F.lit(-1).cast("long") - F.pmod(F.xxhash64("cell_a", "cell_b"), F.lit(1 << 40))
+    own = F.coalesce("block", F.lit(0).cast("long"))
+    to = F.concat(F.array(own), F.coalesce("others", F.array().cast("array<long>")))
+    dealt = sets.select("cluster", "rep", "copies", "shingles", own.alias("own"), F.explode(to).alias("other"), F.col("block").isNull().alias("whole"))
+    dealt = dealt.select("cluster", "rep", "copies", "shingles", F.col("own").alias("block"), F.least("own", "other").alias("cell_a"), F.greatest("own", "other").alias("cell_b"), "whole")
+    groups = dealt.withColumn("group", F.when(F.col("whole"), whole).otherwise(cell)).drop("whole").groupBy("group")
+    linked = cut_lineage(groups.applyInArrow(link_group(threshold), "rep long, root long, links long, texts long"))
+
+    roots = components(root_links(linked))
     degree = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     ids = classes.join(roots, classes["rep"] == roots["node"], "left").select("set", "rep", "doc", "text_code", "copies", F.coalesce("root", "rep").alias("root"))
     least = ids.groupBy("root").agg(F.min(F.struct("doc", "text_code")).alias("least"))

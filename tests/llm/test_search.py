@@ -1,9 +1,11 @@
 """Wu-Manber, FM-index, longest common subsequence and M-tree against brute force."""
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from colloquy.llm import jaccard_join
 from colloquy.llm.decontaminate import joined, matchers, search, windows_of
 from colloquy.llm.fm_index import FMIndex, RangeMin, WaveletTree
 from colloquy.llm.html_text import common_subsequence
@@ -104,14 +106,56 @@ def test_m_tree(n, k, seed, spread):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.sets(st.integers(0, 30), min_size=1), min_size=2, max_size=8))
-def test_verified(sets):
+@given(st.lists(st.sets(st.integers(0, 30), min_size=1), min_size=2, max_size=8), st.integers(1, 7), st.sampled_from([1, 2, 16]))
+def test_verified(sets, cut, few):
     rows = [np.array(sorted(s), np.uint64) for s in sets]
     every = np.arange(len(rows))
-    hit = verified(rows, every, every, (4, 5))
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets):
-            assert i == j or hit[i, j] == (5 * len(a & b) >= 4 * len(a | b))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(jaccard_join, "FEW", few)
+        patch.setattr(jaccard_join, "BIT_COLUMNS", 64)
+        for left, right in ((every, every), (every[:cut], every[cut:])):
+            hit = verified(rows, left, right, (4, 5))
+            for i, a in enumerate(left):
+                for j, b in enumerate(right):
+                    a_set, b_set = sets[a], sets[b]
+                    assert hit[i, j] == (5 * len(a_set & b_set) >= 4 * len(a_set | b_set))
+
+
+def near_copies(n, length=120, seed=5):
+    """Copies of one text with some words replaced: some pairs are links, many only just or not."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(length)]
+    out = []
+    for i in range(n):
+        words = list(base)
+        for j in rng.choice(length, rng.integers(0, 3), replace=False):
+            words[j] = f"x{i}.{j}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_links_of_near_copies_grow_linearly(spark, monkeypatch):
+    edges = []
+    root_links = jaccard_join.root_links
+    monkeypatch.setattr(jaccard_join, "root_links", lambda linked: edges.append(found := root_links(linked)) or found)
+    sizes = (100, 200, 400)
+    for n in sizes:
+        docs = spark.createDataFrame(list(enumerate(near_copies(n))), "doc_id long, text string")
+        assert jaccard_join.jaccard_classes(docs, block=16).where("n_links > 0").count() > 0.9 * n
+    assert all(e.count() < 1.5 * n for e, n in zip(edges, sizes, strict=True))
+
+
+def test_jaccard_in_blocks(spark):
+    """Clusters of many blocks, some of which share no bucket, against brute force."""
+    from tests.llm.test_pipeline import brute_classes
+
+    texts = near_copies(60, 60) + [" ".join(f"y{i}.{j}" for j in range(40)) for i in range(20)] + near_copies(40, 30, 6)
+    rows = list(enumerate(texts))
+    classes, links = brute_classes(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (1024, 8, 1):
+        found = {r["doc"]: (r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_classes(docs, block=block).collect()}
+        assert found == {d: (c, n) for (d, _), c, n in zip(rows, classes, links, strict=True)}
 
 
 def test_bands_reach_the_recall():
