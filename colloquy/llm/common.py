@@ -35,27 +35,44 @@ def text_key(name: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(name), F.lit("")))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written once to the checkpoint folder that all executors share.
-
-    ``spark.checkpoint.dir`` names the folder on a cluster.  Where it is unset, which is the
-    case in local sessions only, a folder under the warehouse is taken.
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes to clash with no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder under the warehouse serves a local session; on a cluster nothing says that
+    the executors see it, so it is refused.
     """
+    set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or (set_already.get() if set_already.isDefined() else None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written once to the checkpoint folder that all executors share."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            warehouse = spark.conf.get("spark.sql.warehouse.dir")
-            named = f"{warehouse.rstrip('/')}/_checkpoints"
-        context.setCheckpointDir(named)
+        context.setCheckpointDir(shared_root(spark))
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path in the folder that the driver and all executors see."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{named.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def remove_at_exit(spark: SparkSession, path: str) -> str:
@@ -126,6 +143,10 @@ class Sent:
     def __getstate__(self):
         return {"bytes": self.bytes, "here": []}
 
+    def release(self) -> None:
+        """Frees the workers' copies, once no plan that is still to run needs them."""
+        self.bytes.unpersist()
+
     @property
     def value(self):
         if not self.here:

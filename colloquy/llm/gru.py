@@ -1,10 +1,10 @@
 """A bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word's input is its own embedding plus the mean embedding of its character n-grams (of the UTF-8
-bytes, with the word's ends marked), both from hashed tables.  Two gated recurrent layers read a
+A word's input is the embedding of its letters and digits plus the mean embedding of its character n-grams (of the
+UTF-8 bytes, marks included, with the word's ends marked), both from hashed tables.  Two gated recurrent layers read a
 window of words in either direction; attention weighs the states, and a linear unit gives the
-window's logit.  Training sees bags of windows under one label: the window with the highest logit
-stands for its bag.
+window's logit.  Training sees a text as the bag of its windows under one label.  A step draws some from all windows of
+the text, one from every word, and the one with the highest logit stands for its bag.
 """
 
 from __future__ import annotations
@@ -14,10 +14,15 @@ import xxhash
 
 GRAMS = (3, 4, 5)
 
+#: Windows of a text that a step draws.
+DRAWN = 6
+
+MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
+
 
 def word_rows(words: list[bytes], size: int) -> np.ndarray:
-    """Rows of the word table; row 0 is for padding."""
-    return np.fromiter((1 + xxhash.xxh3_64_intdigest(w) % (size - 1) for w in words), np.int64, len(words))
+    """Rows of the word table, by the words' letters and digits where they have any; row 0 is for padding."""
+    return np.fromiter((1 + xxhash.xxh3_64_intdigest(w.translate(None, MARKS) or w) % (size - 1) for w in words), np.int64, len(words))
 
 
 def gram_table(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,11 +160,11 @@ class Network:
         self.p[key][at] -= rate * gradient / np.sqrt(self.seen[key][at])
 
 
-def train(network: Network, bags: list[list[list[bytes]]], labels: np.ndarray, *, length: int, epochs: int, rate: float = 0.05, batch: int = 64, decay: float = 1e-3, smooth: float = 0.02, seed: int = 3) -> None:
-    """Fits the network to bags of windows (lists of words), each with a label."""
+def train(network: Network, texts: list[list[bytes]], labels: np.ndarray, *, length: int, epochs: int, rate: float = 0.05, batch: int = 64, decay: float = 1e-3, smooth: float = 0.02, seed: int = 3) -> None:
+    """Fits the network to whole texts (lists of words, none empty), each with a label."""
     rng = np.random.default_rng(seed)
     vocabulary: dict[bytes, int] = {}
-    windows = [[np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int64) for words in bag] for bag in bags]
+    texts = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int64) for words in texts]
     words = list(vocabulary)
     own_rows = word_rows(words, len(network.p["words"]))
     grams, owners = gram_table(words, len(network.p["grams"]))
@@ -175,16 +180,20 @@ def train(network: Network, bags: list[list[list[bytes]]], labels: np.ndarray, *
             ids[: len(x), i] = x
         return ids, ids >= 0
 
-    steps = epochs * max(1, len(bags) // batch)
-    for step in range(steps):
+    def gates_of(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([x @ network.p["Wf"] + network.p["cf"], x @ network.p["Wb"] + network.p["cb"]], axis=-1)
+
+    per_epoch = max(1, len(texts) // batch)
+    for step in range(epochs * per_epoch):
         picked = np.concatenate([rng.choice(positive, half), rng.choice(negative, half)])
-        if step % max(1, len(bags) // batch) == 0:
+        if step % per_epoch == 0:
             x_all = network.p["words"][own_rows] + gram_means(network.p["grams"], grams, owners, len(words))
-        used = [[windows[i][j] for j in rng.permutation(len(windows[i]))[:6]] for i in picked]
+        used = []
+        for i in picked:
+            drawn = rng.integers(0, max(1, len(texts[i]) - length + 1), DRAWN)
+            used.append([texts[i][s : s + length] for s in np.unique(drawn)])
         ids, mask = laid([w for u in used for w in u])
-        x = x_all[ids] * mask[:, :, None]
-        a = np.concatenate([x @ network.p["Wf"] + network.p["cf"], x @ network.p["Wb"] + network.p["cb"]], axis=2)
-        z = network.logits(a, mask)
+        z = network.logits(gates_of(x_all[ids] * mask[:, :, None]), mask)
         best, at = [], 0
         for u in used:
             best.append(u[int(np.argmax(z[at : at + len(u)]))])

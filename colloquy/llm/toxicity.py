@@ -1,13 +1,18 @@
 """Toxicity scores: a recurrent network over all overlapping windows of a text.
 
 The network (``gru``) reads windows of ``LENGTH`` words, one from every word of a text that has
-a whole window before its end.  A text's features are its highest window logit, the mean of
-its three highest and the number of windows, and a logistic unit, fitted on labelled texts that the
-network was not trained on, turns them into a probability under the labels' own share of toxic ones.
-
-Fitting takes a bounded sample of labelled rows: at most ``SAMPLE`` of either label, and of each text at
-most ``BAG`` windows for the network, ``STRIDE`` words apart.  Scoring covers every window of every text, in the task
-that reads it.
+a whole window before its end.  Words are what white space separates, in lower case, with their marks.  A text's features
+are its highest window logit, the mean of its three highest and the number of windows, and a logistic unit, fitted on
+labelled texts that the network was not trained on, turns them into a probability under the labels' own share of toxic ones.
+
+Fitting takes a bounded sample of labelled rows: of either label at most ``SAMPLE``, and no more than ``SAMPLE_BYTES``
+of text, those whose ids have the least hashes.  Sampled texts are whole, and training draws from all of their windows.
+Scoring covers every window of every text, in the task that reads it; windows of the same words are computed
+once in a batch.
+
+Nulls: a null or empty text is scored as a window without words; null ids and null labels are not learned.
+A very long text is laid out by itself.  Equal texts have equal scores, whatever their ids.  Of rows with one
+id the least text is learned; all are scored.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,14 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from colloquy.llm.common import Sent, arrow_map, slices, table, utf8
-from colloquy.llm.decontaminate import folded_words
+from colloquy.llm.common import Sent, arrow_map, cut_lineage, gram_codes, slices, table, utf8
 from colloquy.llm.gru import Network, sigmoid, train
 
 LENGTH = 24
-STRIDE = 12
 SAMPLE = 2_500
-BAG = 16
+SAMPLE_BYTES = 8_000_000
 EPOCHS = 24
 CUT = 0.3
 
@@ -42,16 +45,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def read_words(text: bytes | None) -> list[bytes]:
-    """The text's words in lower case; a word that is repeated in a row counts once."""
-    words = folded_words(text)
-    return [w for w, before in zip(words, [None, *words], strict=False) if w != before]
-
-
-def window_starts(n: int, length: int, stride: int) -> np.ndarray:
-    if n <= length:
-        return np.zeros(1, np.int64)
-    starts = np.arange(0, n - length + 1, stride)
-    return starts if starts[-1] == n - length else np.append(starts, n - length)
+    """The text's words in lower case (A-Z), marks included."""
+    return text.lower().split() if text else []
 
 
 class Scorer:
@@ -82,7 +77,7 @@ class Scorer:
     def features(self, texts: list[list[bytes]]) -> np.ndarray:
         """(highest window logit, mean of the three highest, log of the windows' number) of each text."""
         rows = [r if len(r) else np.zeros(1, np.int64) for r in self.rows(texts)]
-        starts = [window_starts(len(r), LENGTH, 1) for r in rows]
+        starts = [np.arange(max(1, len(r) - LENGTH + 1)) for r in rows]
         of = np.repeat(np.arange(len(rows)), [len(s) for s in starts])
         logits = np.empty(len(of), np.float32)
         flat = np.concatenate(rows)
@@ -91,7 +86,10 @@ class Scorer:
         begin = base[of] + np.concatenate(starts)
         size = np.minimum(lengths, LENGTH)[of]
         full = size == LENGTH
-        for where, masked in ((np.flatnonzero(full), False), (np.flatnonzero(~full), True)):
+        codes = gram_codes(flat.astype(np.uint64), LENGTH)  # at every word, also across texts
+        whole = np.flatnonzero(full)
+        first, again = np.unique(codes[begin[whole]], return_index=True, return_inverse=True)[1:]
+        for where, masked in ((whole[first], False), (np.flatnonzero(~full), True)):
             for part in slices(len(where), PASS):
                 chosen = where[part]
                 steps = np.arange(LENGTH)[:, None]
@@ -99,6 +97,7 @@ class Scorer:
                 places = np.minimum(begin[chosen] + steps, len(flat) - 1)
                 ids = flat[places] if mask is None else np.where(mask, flat[places], 0)
                 logits[chosen] = self.network.logits(self.gates[ids], mask)
+        logits[whole] = logits[whole[first]][again]
         order = np.lexsort((-logits, of))
         ordered = logits[order]
         counts = np.bincount(of, minlength=len(rows))
@@ -158,43 +157,39 @@ class Model:
         return self.calibrator.score(scorer.features([read_words(t) for t in texts]))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int):
-    """At most ``sample`` labelled texts of either label, as bags of windows, and the labels' counts."""
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int, sample_bytes: int) -> tuple[DataFrame, dict[int, int]]:
+    """id, toxic and text of the labelled texts to learn from, and the labels' counts."""
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    known = known.groupBy(id_col).agg(F.max("toxic").alias("toxic"))
-    counts = {int(r["toxic"] > 0): r["n"] for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    known = known.groupBy(F.col(id_col).cast("string").alias("id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     some = None
     for label in (0, 1):
-        part = known.where((F.col("toxic") > 0) == F.lit(bool(label))).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(sample)
+        part = known.where(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(sample)
         some = part if some is None else some.unionByName(part)
-    # at most 2 * SAMPLE rows: the other side of the join stays where it is
-    picked = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(F.broadcast(some), id_col).select(id_col, text_col, "toxic")
-    return picked, counts
-
-
-def bags(picked: DataFrame) -> list[tuple]:
-    def scan(batch: pa.RecordBatch):
-        out = []
-        for text in utf8(batch.column(1)):
-            words = read_words(text)
-            starts = window_starts(len(words), LENGTH, STRIDE)
-            if len(starts) > BAG:
-                starts = np.sort(np.random.default_rng(len(words)).choice(starts, BAG, replace=False))
-            out.append([b" ".join(words[s : s + LENGTH]) for s in starts])
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2).cast(pa.int32()), pa.array(out, pa.list_(pa.binary()))], names=["id", "toxic", "bag"])
-
-    rows = arrow_map(picked, scan, "id string, toxic int, bag array<binary>").collect()
-    return sorted((r["id"], int(r["toxic"] > 0), [bytes(x).split() for x in r["bag"]]) for r in rows)
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, epochs: int = EPOCHS, seed: int = 1) -> Model:
+    # at most 2 * SAMPLE rows: the other side of the join stays where it is, and a repeated id gives one row
+    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    found = cut_lineage(texts.join(F.broadcast(some), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")))
+    sizes = found.select("id", "toxic", F.octet_length("text").alias("size"), F.xxhash64("id").alias("hash")).collect()
+    room, chosen = {0: sample_bytes, 1: sample_bytes}, []
+    for r in sorted(sizes, key=lambda r: (r["hash"], r["id"])):
+        if r["size"] <= room[r["toxic"]]:
+            room[r["toxic"]] -= r["size"]
+            chosen.append((r["id"],))
+    chosen = docs.sparkSession.createDataFrame(chosen, "id string")
+    return found.join(F.broadcast(chosen), "id").select("id", "toxic", "text"), counts
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, epochs: int = EPOCHS, seed: int = 1
+) -> Model:
     """Learns from the rows of ``labels`` that are not held out, a null label counting as none.
 
     Repeated labels of a document count as toxic if one of them does.  With only one label to learn
     from, all texts score the share of toxic labels.
     """
-    picked, counts = sampled(docs, labels, id_col, text_col, sample)
-    found = [x for x in bags(picked) if any(x[2])]
+    picked, counts = sampled(docs, labels, id_col, text_col, sample, sample_bytes)
+    found = sorted((r["id"], r["toxic"], read_words(r["text"].encode())) for r in picked.collect())
+    found = [x for x in found if x[2]]
     y = np.array([x[1] for x in found])
     network = Network(seed=seed)
     n = {k: max(1, int((y == k).sum())) for k in (0, 1)}
@@ -206,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     learn = place % 3 != 2
     if not (y[learn] == 1).any() or not (y[~learn] == 1).any():
         learn = np.ones(len(y), bool)
-    train(network, [[w for w in found[i][2] if w] for i in np.flatnonzero(learn)], y[learn].astype(np.float32), length=LENGTH, epochs=epochs)
+    train(network, [found[i][2] for i in np.flatnonzero(learn)], y[learn].astype(np.float32), length=LENGTH, epochs=epochs)
     kept = np.arange(len(y)) if learn.all() else np.flatnonzero(~learn)
     calibrates = {found[i][0] for i in kept}
     weight = {k: counts.get(k, 1) / n[k] for k in (0, 1)}
@@ -217,11 +212,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     def scan(batch: pa.RecordBatch):
         if not scorer:
             scorer.append(Scorer(sent.value))
-        mine = [i for i, x in enumerate(batch.column(0).cast(pa.string()).to_pylist()) if x in ids.value]
+        mine = [i for i, x in enumerate(batch.column(0).to_pylist()) if x in ids.value]
         if mine:
-            texts = utf8(batch.column(1))
+            texts = utf8(batch.column(2))
             x = np.concatenate([scorer[0].features([read_words(t) for t in part]) for part in parts([texts[i] for i in mine])])
-            toxic = [batch.column(2)[i].as_py() for i in mine]
+            toxic = [batch.column(1)[i].as_py() for i in mine]
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "x"])
 
     rows = sorted(arrow_map(picked, scan, "toxic int, x array<double>").collect())
