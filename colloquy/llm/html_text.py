@@ -1,17 +1,27 @@
-"""Main text of web pages: markup first, then differencing against the page with the nearest URL.
-
-A page becomes lines, a block of text each, of three kinds: in an ``article`` or ``main`` element, in an
-element whose name, role or class says that it is no content, or plain.  Pages of a host that are equal but
-for lines of no content count as one, under the first of their paths.  These are put in the order of their URL
-paths, and each is paired with that of its two neighbours which shares the longer beginning of the path, or with
-the other if that one has none or all of its plain lines.  Their lines are aligned by longest common subsequence.
-A plain line that both have belongs to the site and goes, from every copy.  Lines that the markup calls the
-article stay, since pages may well share passages of it; where it marks an article, the other lines are none of it.
+"""Main text of web pages: differencing against the page with the nearest URL, with the markup as a check.
+
+A page becomes lines, a block of text each, of four kinds: in an ``article`` or ``main`` element; in an
+element whose name, role or class says that it is no content; within an article but under a class that only
+hints at that; or plain.  Pages of a host that are equal but for lines of no content count as one, under the
+first of their paths.  These are put in the order of their URL paths, and each is paired with that of its
+two neighbours which shares the longer beginning of the path, or with the other if differencing with that one
+deletes nothing, or all of a page without an article.  The lines of both outside their articles, and
+the doubtful ones within, are aligned by longest common subsequence.  A line that both have belongs to the site and
+goes, from every copy of the page.
+
+The markup checks this from both sides.  An article's own lines stay, since pages may well share
+passages of their articles; where there is an article, lines outside are none of it.  And of the lines that differencing
+leaves, those that the markup calls no content go as well: adverts, menus and readers' comments may differ
+from page to page.
 
 The order comes from a range partitioning of rows without their html, so a host with a third of all
 pages is spread over many tasks, and neighbours meet by their position in it.  Copies become one row before that,
 within each task first.  The html itself stays where it is, unless the list of lines to delete is long
-(its length is checked).
+(its length, in lines, is checked).
+
+Nulls: null and empty html have an empty text; a null url has an empty host and path.  A very long page is one
+row like any other; its lines are aligned by bit rows.  Ties: of two neighbours that share equally much of the path the
+earlier one is taken.  Repeated rows are rows each, with equal texts.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,10 +37,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from colloquy.llm.common import NO_ID, arrow_map, cut_lineage, shuffle_partitions, slices, table, written
+from colloquy.llm.common import NO_ID, arrow_map, cut_lineage, free_names, shuffle_partitions, slices, table, written
 from colloquy.llm.url_filter import host_of, path_of
 
-PLAIN, MAIN, NOISE = 0, 1, 2
+PLAIN, MAIN, NOISE, DOUBT = 0, 1, 2, 3
 
 # Elements and words that mark what is no content, and the elements that end a block.
 NOISE_TAGS = frozenset("nav header footer aside form script style noscript template iframe svg button select textarea dialog menu head title object canvas".split())
@@ -40,6 +50,11 @@ NOISE_WORDS = frozenset(
     "alert comment comments reply replies disqus nav navbar navigation menu breadcrumb breadcrumbs footer header masthead toolbar share sharing "
     "social related recommended newsletter subscribe subscription signup login popup modal overlay widget pagination pager skip search form".split()
 )
+#: Beside a word of the above, these leave a class name as it is: ``comment-list``, ``site-footer``, ``sidebar-2``.
+FRAME_WORDS = frozenset(
+    "site page main top bottom left right upper lower inner outer bar box list item items block section area slot container wrapper wrap panel unit row column "
+    "button buttons link links text body content user reader readers posts links primary secondary global sticky fixed thread".split()
+)
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 INLINE_TAGS = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label map mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
@@ -49,34 +64,47 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NEVER_NOISE = frozenset("html body article main".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+#: A quote opens a value only after an equals sign.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\s*=\s*(?:"[^"]*"|'[^']*')|[^>])*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-WORD = re.compile(r"[a-z0-9]+")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 MAIN_MARK = re.compile(r"""\b(?:role\s*=\s*["']?main\b|itemprop\s*=\s*["']?articleBody\b)""", re.I)
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW_TAGS}
 
-#: Pages in a list of deletions that is broadcast.
-SHORT_LIST = 200_000
+#: Lines in a list of deletions that is broadcast: some 20 MB.
+SHORT_LIST = 2_000_000
 
 
-def says_noise(tag: str, attributes: str) -> bool:
+def named_noise(value: str) -> int:
+    """What a class or an id says: 2 if one of its names is no content's, 1 if a name has such a word among others."""
+    found = 0
+    for name in value.strip("\"'").split():
+        words = {w.lower() for w in WORD.findall(name)}
+        if words.isdisjoint(NOISE_WORDS):
+            continue
+        if all(w in NOISE_WORDS or w in FRAME_WORDS or w.isdigit() for w in words):
+            return 2
+        found = 1
+    return found
+
+
+def says_noise(tag: str, attributes: str) -> int:
+    """2 if an element is no content, 1 if that is in doubt."""
     if tag in NEVER_NOISE:
-        return False
+        return 0
     if tag in NOISE_TAGS:
-        return True
-    if not attributes or attributes.isspace():
-        return False
-    for name, value in ATTRIBUTE.findall(attributes):
-        name = name.lower()
-        if name in ("class", "id"):
-            if not NOISE_WORDS.isdisjoint(WORD.findall(value.lower())):
-                return True
-        elif name == "role":
-            if value.strip("\"'").lower() in NOISE_ROLES:
-                return True
-        elif name == "hidden" or (name == "aria-hidden" and "true" in value.lower()):
-            return True
-    return False
+        return 2
+    found = 0
+    if attributes and not attributes.isspace():
+        for name, value in ATTRIBUTE.findall(attributes):
+            name = name.lower()
+            if name in ("class", "id"):
+                found = max(found, named_noise(value))
+            elif name == "role":
+                found = 2 if value.strip("\"'").lower() in NOISE_ROLES else found
+            elif name == "hidden" or (name == "aria-hidden" and "true" in value.lower()):
+                found = 2
+    return found
 
 
 def says_main(tag: str, attributes: str) -> bool:
@@ -87,8 +115,8 @@ def page_lines(text: str) -> list[tuple[str, int]]:
     """The page's blocks of text in order, each with its kind; white space is one space."""
     lines: list[tuple[str, int]] = []
     block: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # (tag, noise, main)
-    noise = inside = 0  # open elements of noise, and of article or main
+    stack: list[tuple[str, int, bool]] = []  # (tag, noise, main)
+    noise = doubt = inside = 0  # open elements of noise, of doubtful noise, and of article or main
     at, end = 0, len(text)
 
     def close_block() -> None:
@@ -96,12 +124,20 @@ def page_lines(text: str) -> list[tuple[str, int]]:
             line = " ".join(html.unescape("".join(block)).split())
             block.clear()
             if line:
-                lines.append((line, NOISE if noise else MAIN if inside else PLAIN))
+                lines.append((line, NOISE if noise else PLAIN if not inside else DOUBT if doubt else MAIN))
+
+    def push(tag: str, is_noise: int, is_main: bool) -> None:
+        nonlocal noise, doubt, inside
+        stack.append((tag, is_noise, is_main))
+        noise += is_noise == 2
+        doubt += is_noise == 1
+        inside += is_main
 
     def pop() -> None:
-        nonlocal noise, inside
+        nonlocal noise, doubt, inside
         _, was_noise, was_main = stack.pop()
-        noise -= was_noise
+        noise -= was_noise == 2
+        doubt -= was_noise == 1
         inside -= was_main
 
     while at < end:
@@ -145,19 +181,32 @@ def page_lines(text: str) -> list[tuple[str, int]]:
         if tag in RAW_TAGS:
             stop = RAW_END[tag].search(text, at)
             at = end if stop is None else stop.start()
-            stack.append((tag, is_noise, False))
-            noise += is_noise
+            push(tag, is_noise, False)
             continue
-        is_main = says_main(tag, attributes)
-        stack.append((tag, is_noise, is_main))
-        noise += is_noise
-        inside += is_main
+        push(tag, is_noise, says_main(tag, attributes))
     close_block()
     return lines
 
 
-def content_lines(text: str | None) -> list[tuple[str, int]]:
-    return [x for x in page_lines(text or "") if x[1] != NOISE]
+def line_codes(lines: list[tuple[str, int]]) -> list[int]:
+    return np.fromiter((xxhash.xxh3_64_intdigest(x) for x, _ in lines), np.uint64, len(lines)).view(np.int64).tolist()
+
+
+def main_text(lines: list[tuple[str, int]], gone: set[int]) -> tuple[str, int]:
+    """A page's text without the lines whose codes are in ``gone``, and how many lines go for that reason."""
+    wanted = (MAIN, DOUBT) if any(k in (MAIN, DOUBT) for _, k in lines) else (PLAIN,)
+    shared = [k != MAIN and c in gone for c, (_, k) in zip(line_codes(lines), lines, strict=True)] if gone else [False] * len(lines)
+    return " ".join(x for (x, k), s in zip(lines, shared, strict=True) if k in wanted and not s), sum(shared)
+
+
+def site_lines(codes: list[int], kinds: bytes, others: list[tuple[list[int], bytes]]) -> list[int]:
+    """Codes of the page's lines that the first of the ``others`` has too with which anything, but not all, would go."""
+    own = [c for c, k in zip(codes, kinds, strict=True) if k != MAIN]
+    for other, other_kinds in others:
+        drop = {own[i] for i in common_subsequence(own, [c for c, k in zip(other, other_kinds, strict=True) if k != MAIN])}
+        if drop and (MAIN in kinds or any(k in (PLAIN, DOUBT) and c not in drop for c, k in zip(codes, kinds, strict=True))):
+            return sorted(drop)
+    return []
 
 
 def common_subsequence(a: list[int], b: list[int]) -> list[int]:
@@ -191,18 +240,19 @@ def common_subsequence(a: list[int], b: list[int]) -> list[int]:
 
 
 def line_rows(pages: DataFrame) -> DataFrame:
-    """page, code, host, path, and the codes and kinds of the page's lines but those of no content, with ``same``,
-    which equal ones share; ``pages``: page, code, host, path, html."""
+    """page, code, host, path, and the codes and kinds of the page's lines, with ``same``, which pages of equal
+    lines but those of no content share; ``pages``: page, code, host, path, html."""
 
     def scan(batch: pa.RecordBatch):
         for part in slices(batch.num_rows, 500):
             rows = batch.slice(part.start, part.stop - part.start)
             codes, kinds, same = [], [], []
             for text in rows.column(4).to_pylist():
-                lines = content_lines(text)
-                codes.append(np.array([xxhash.xxh3_64_intdigest(x) for x, _ in lines], np.uint64).view(np.int64))
+                lines = page_lines(text or "")
+                codes.append(line_codes(lines))
                 kinds.append(bytes(k for _, k in lines))
-                same.append(xxhash.xxh3_128_digest(codes[-1].tobytes() + kinds[-1]))
+                own = [x for x in zip(codes[-1], kinds[-1], strict=True) if x[1] != NOISE]
+                same.append(xxhash.xxh3_128_digest(np.array([c for c, _ in own], np.int64).tobytes() + bytes(k for _, k in own)))
             yield pa.RecordBatch.from_arrays(
                 [*(rows.column(i) for i in range(4)), pa.array(codes, pa.list_(pa.int64())), pa.array(kinds, pa.binary()), pa.array(same, pa.binary())],
                 names=["page", "code", "host", "path", "codes", "kinds", "same"],
@@ -226,72 +276,69 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def shared_lines(rows: DataFrame) -> DataFrame:
-    """host, same and the positions of plain lines to delete, for contents that have any."""
-    contents = rows.where(F.size("codes") > 0).groupBy("host", "same").agg(F.min("path").alias("path"), F.first("codes").alias("codes"), F.first("kinds").alias("kinds"))
+    """host, same and the codes of lines to delete, for contents that have any."""
+    first = F.min_by(F.struct("path", "codes", "kinds"), F.struct("path", "page", "code"))
+    contents = rows.where(F.size("codes") > 0).groupBy("host", "same").agg(first.alias("x")).select("host", "same", "x.*")
     order = written(numbered(contents), "page-order")
     side = lambda name, step: order.select(
-        (F.col("place") + step).alias("place"), *(F.col(c).alias(f"{name}_{c}") for c in ("host", "path", "codes"))
+        (F.col("place") + step).alias("place"), *(F.col(c).alias(f"{name}_{c}") for c in ("host", "path", "codes", "kinds"))
     )
     paired = order.join(side("before", 1), "place", "left").join(side("after", -1), "place", "left")
-    paired = paired.select("same", "host", "path", "codes", "kinds", *(f"{n}_{c}" for n in ("before", "after") for c in ("host", "path", "codes")))
+    paired = paired.select("same", "host", "path", "codes", "kinds", *(f"{n}_{c}" for n in ("before", "after") for c in ("host", "path", "codes", "kinds")))
 
     def scan(batch: pa.RecordBatch):
         hosts, sames, drops = [], [], []
         for row in batch.to_pylist():
-            kinds, own = row["kinds"], row["codes"]
-            if MAIN in kinds:
-                continue
-            near = []
-            for name in ("before", "after"):
-                if row[f"{name}_codes"] is not None and row[f"{name}_host"] == row["host"]:
-                    near.append((-len(os.path.commonprefix([row["path"], row[f"{name}_path"]])), len(near), row[f"{name}_codes"]))
-            for _, _, other in sorted(near):
-                drop = common_subsequence(own, other)  # all of its lines are plain
-                if 0 < len(drop) < len(own):
-                    hosts.append(row["host"])
-                    sames.append(row["same"])
-                    drops.append(drop)
-                    break
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(sames, pa.binary()), pa.array(drops, pa.list_(pa.int64()))], names=["host", "same", "__drop"])
-
-    return arrow_map(paired, scan, "host string, same binary, __drop array<long>")
+            near = [
+                (-len(os.path.commonprefix([row["path"], row[f"{name}_path"]])), row[f"{name}_codes"], row[f"{name}_kinds"])
+                for name in ("before", "after")
+                if row[f"{name}_codes"] is not None and row[f"{name}_host"] == row["host"]
+            ]
+            near.sort(key=lambda x: x[0])
+            drop = site_lines(row["codes"], row["kinds"], [x[1:] for x in near])
+            if drop:
+                hosts.append(row["host"])
+                sames.append(row["same"])
+                drops.append(drop)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(sames, pa.binary()), pa.array(drops, pa.list_(pa.int64()))], names=["host", "same", "drop"])
+
+    return arrow_map(paired, scan, "host string, same binary, drop array<long>")
 
 
 def short(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= SHORT_LIST else rows
+    lines = rows.agg(F.sum(F.size("drop") + 4)).first()[0] or 0
+    return F.broadcast(rows) if lines <= SHORT_LIST else rows
 
 
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``pages`` with ``main_text`` added.
+    """``pages`` with ``main_text`` and ``n_shared`` (lines that differencing deletes) added.
 
     Null and empty html have an empty text.  Pages without a host are neighbours of each other; a page whose
-    host has only its copies, and one whose neighbours have all or none of its plain lines, keeps its lines;
-    equal pages of a host have equal texts.  A column ``main_text`` of ``pages`` is replaced.
+    host has only its copies deletes nothing by differencing, nor does one without an article that would lose
+    all of its lines; equal pages of a host have equal texts.  Columns of ``pages`` with the added names are replaced.
     """
-    pages = pages.drop("main_text")
-    code = F.xxhash64(F.coalesce(F.col(url_col), F.lit("")), F.coalesce(F.col(html_col), F.lit("")))
-    keyed = pages.withColumns({"__page": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__code": code})
-    rows = written(line_rows(keyed.select("__page", "__code", host_of(F.col(url_col)), path_of(F.col(url_col)), html_col)), "page-lines")
+    pages = pages.drop("main_text", "n_shared")
+    page, code, drop = free_names(pages, "page", "code", "drop")
+    text_code = F.xxhash64(F.coalesce(F.col(url_col), F.lit("")), F.coalesce(F.col(html_col), F.lit("")))
+    keyed = pages.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias(page), text_code.alias(code))
+    rows = written(line_rows(keyed.select(page, code, host_of(F.col(url_col)), path_of(F.col(url_col)), html_col)), "page-lines")
     shared = short(written(shared_lines(rows), "page-shared"))
-    drops = rows.join(shared, ["host", "same"]).select(F.col("page").alias("__page"), F.col("code").alias("__code"), "__drop")
-    drops = short(written(drops.dropDuplicates(["__page", "__code"]), "page-drops"))
-    told = keyed.join(drops, ["__page", "__code"], "left").select(*keyed.columns, "__drop")
+    drops = written(rows.join(shared, ["host", "same"]).select("page", "code", "drop").dropDuplicates(["page", "code"]), "page-drops")
+    drops = short(drops).toDF(page, code, drop)
+    told = keyed.join(drops, [page, code], "left").select(*keyed.columns, drop)
     html_at, drop_at, names = told.schema.names.index(html_col), len(keyed.columns), pages.columns
 
     def scan(batch: pa.RecordBatch):
         for part in slices(batch.num_rows, 500):
             own = batch.slice(part.start, part.stop - part.start)
-            texts = []
-            for text, drop in zip(own.column(html_at).to_pylist(), own.column(drop_at).to_pylist(), strict=True):
-                lines = content_lines(text)
-                gone = set(drop or ())
-                wanted = MAIN if any(k == MAIN for _, k in lines) else PLAIN
-                texts.append(" ".join(x for i, (x, k) in enumerate(lines) if k == wanted and i not in gone))
-            yield pa.RecordBatch.from_arrays([*own.columns[: len(names)], pa.array(texts, pa.string())], names=[*names, "main_text"])
+            found = [main_text(page_lines(text or ""), set(gone or ())) for text, gone in zip(own.column(html_at).to_pylist(), own.column(drop_at).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*own.columns[: len(names)], pa.array([t for t, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=[*names, "main_text", "n_shared"]
+            )
 
-    return arrow_map(told, scan, StructType([*pages.schema.fields, *StructType.fromDDL("main_text string").fields]))
+    return arrow_map(told, scan, StructType([*pages.schema.fields, *StructType.fromDDL("main_text string, n_shared long").fields]))
 
 
 def op9_html_text(spark, sf_dir: str) -> DataFrame:
     found = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"), "n_shared")
