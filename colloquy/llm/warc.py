@@ -8,6 +8,12 @@ payload is only accepted if its own digest is the one it is filed under.
 Of records with the same payload of ``least`` bytes or more, that with the smallest id is the
 response and the others revisit it.  A revisit's record has no block; its headers name the response
 and the payload's digest, from which the full payload is found.
+
+A url's control characters and line or paragraph separators are percent-encoded in its header, so that no url can
+end its line; header lines end with CR LF, and nothing else ends one when they are read.
+
+Nulls: a null payload is empty, a null url has no header.  Payloads of any length are binary values of one row.
+Ties: of repeated ids with one payload the first row is the response.  An empty table is an archive of no records.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ LEAST = 100
 SHORT_LIST = 200_000
 #: Every record of an archive carries this date, unless the caller has a column for it.
 DATE = "2024-01-01T00:00:00Z"
+CONTROL = r"[\x00-\x1F\x7F-\u009F\u2028\u2029]"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -30,8 +37,10 @@ def record_id(page: Column) -> Column:
 
 
 def one_line(text: Column) -> Column:
-    """A header's value: line ends would end the header."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\r\\n]+", " ")
+    """A header's value: what could end its line, and other control characters, as percent escapes."""
+    escape = lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")
+    escaped = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1)), lambda c: F.when(c.rlike(CONTROL), escape(c)).otherwise(c)), "")
+    return F.when(text.rlike(CONTROL), escaped).otherwise(text)
 
 
 def write_archive(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST) -> None:
@@ -84,7 +93,8 @@ def write_archive(pages: DataFrame, folder: str, *, id_col: str = "page_id", url
 
 
 def header_value(name: str) -> Column:
-    found = F.regexp_extract(F.decode("header", "UTF-8"), rf"(?m)^{name}: (.*?)\r?$", 1)
+    """The value of the first header line with this name; null if there is none, or nothing in it."""
+    found = F.regexp_extract(F.decode("header", "UTF-8"), rf"\A(?:[^\r\n]*+\r\n)*?{name}: ([^\r\n]*+)\r\n", 1)
     return F.when(found != "", found)
 
 
