@@ -10,7 +10,12 @@
    a bounded sample of texts with their posteriors, and scores every text whole.
 
 The sample has at most ``SAMPLE`` different texts, those with the least hashes, each weighted by its number of
-rows up to ``MOST``; the scorer's weights are fixed in size.
+rows up to ``MOST``; the scorer's weights are fixed in size.  The texts become features in the tasks that hold
+them, before the least are picked.
+
+Nulls: a null or empty text is one without words, for votes and scores.  A very long text is one row like any other.
+Ties: texts with one hash are one example; equal texts have equal scores.  Of an empty table nothing is learned
+and every score is 0.5.
 """
 
 from __future__ import annotations
@@ -109,26 +114,35 @@ SHAPE = bytes(0x61 if 0x61 <= c <= 0x7A else 0x41 if 0x41 <= c <= 0x5A else 0x30
 RUNS = re.compile(rb"(.)\1+", re.S)
 
 
-class Features:
-    """Hashed features of texts: shares of word shapes, words and characters; codes are kept between texts."""
+class WordBuckets(dict):
+    """Rows of ``table``, the buckets of a word's shape and of the word itself; words are kept between texts."""
 
     def __init__(self):
-        self.kept: dict[bytes, tuple[int, int]] = {}
+        self.table = np.empty((1 << 12, 2), np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        row = self[word] = len(self)
+        if row == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        shape = RUNS.sub(rb"\1", word.translate(SHAPE))
+        self.table[row] = xxhash.xxh3_64_intdigest(shape, 1) % BUCKETS, xxhash.xxh3_64_intdigest(word, 2) % BUCKETS
+        return row
+
 
-    def word(self, word: bytes) -> tuple[int, int]:
-        found = self.kept.get(word)
-        if found is None:
-            if len(self.kept) > 200_000:
-                self.kept.clear()
-            shape = RUNS.sub(rb"\1", word.translate(SHAPE))
-            found = self.kept[word] = (xxhash.xxh3_64_intdigest(shape, 1) % BUCKETS, xxhash.xxh3_64_intdigest(word, 2) % BUCKETS)
-        return found
+class Features:
+    """Hashed features of texts: shares of word shapes, words and characters."""
+
+    def __init__(self):
+        self.words = WordBuckets()
 
     def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(buckets, values) of a text; the buckets are distinct and the values have length 1."""
         words = text.split()
         n = max(1, len(words))
-        flat = np.fromiter((x for w in words for x in self.word(w)), np.int64, 2 * len(words))
+        if len(self.words) > 200_000:
+            self.words = WordBuckets()
+        rows = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        flat = self.words.table[rows].ravel()
         chars = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
         seen = np.flatnonzero(chars)
         lines = text.split(b"\n")
@@ -187,16 +201,16 @@ def fit_quality(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPLE
         own = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, batch.num_columns)], axis=1)
         found = [features.of(t or b"") for t in utf8(batch.column(0))]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(2), pa.array(sent.value.posterior(own)), pa.array([k for k, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))],
-            names=["n", "good", "keys", "values"],
+            [batch.column(1), batch.column(2), pa.array(sent.value.posterior(own)), pa.array([k for k, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))],
+            names=["code", "n", "good", "keys", "values"],
         )
 
     def least(share: float) -> pa.Table:
         """Of the texts whose hashes lie in this share of all, the ``sample`` least."""
         some = told.withColumn("code", code).where(place < int(share * (1 << 40)))
         some = some.groupBy("code").agg(F.first("text").alias("text"), F.least(F.count("*"), F.lit(MOST)).alias("n"), *(F.first(c).alias(c) for c in names))
-        some = some.orderBy(place, "code").limit(sample).select("text", "code", "n", *names)
-        return arrow_map(some, scan, "n long, good double, keys array<int>, values array<float>").toArrow()
+        found = arrow_map(some.select("text", "code", "n", *names), scan, "code long, n long, good double, keys array<int>, values array<float>")
+        return found.orderBy(place, "code").limit(sample).toArrow()
 
     share = min(1.0, 1.5 * sample / n)
     sampled = least(share)
@@ -208,7 +222,7 @@ def fit_quality(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPLE
     flat_k, flat_v = np.asarray(keys.values), np.asarray(values.values)
     examples = [(flat_k[a:b], flat_v[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
     good = sampled.column("good").to_numpy()
-    order = np.lexsort(([float(v.sum()) for _, v in examples], good))  # the same order wherever rows came from
+    order = np.argsort(sampled.column("code").to_numpy())  # the same order wherever rows came from
     return model, train_scorer([examples[i] for i in order], good[order], sampled.column("n").to_numpy()[order])
 
 
