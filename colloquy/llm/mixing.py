@@ -9,7 +9,11 @@ The weights become token budgets, and each source meets its budget by whole pass
 documents and a part of one more.  A source is cut into ``BLOCKS`` blocks by a hash of its
 rows; a pass takes them in a random order of its own, and the last pass stops at the block that
 reaches the budget.  So a source's result differs from its budget by less than a block, and
-what is windowed is at most ``BLOCKS`` rows a source, however large it is.
+what is windowed is at most ``BLOCKS`` rows a source, however large it is.  Blocks are told to the rows by
+broadcast while their list is short (its length is checked), and by a shuffle beyond that.
+
+Nulls: a null source is a source, a null or empty text has no words.  A very long text is one row.  Ties between
+blocks are broken by their numbers; repeated rows share a block.  An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -31,6 +35,9 @@ MOST_PASSES = 4.0
 DRIVER_SOURCES = 10_000
 TRIALS = 48
 
+#: Blocks in a list that is broadcast: some 15 MB, the blocks of 200 sources.
+SHORT_LIST = 200_000
+
 
 def token_count(text: Column) -> Column:
     """Words of a text, as a long; 0 for null."""
@@ -144,6 +151,9 @@ def mix_sources(
     in_last = (F.col("before") < F.col("rest")) | ((F.col("tokens") == 0) & (F.col("whole") == 0))
     passes = F.when(in_last, F.col("whole") + 1).otherwise(F.col("whole"))
     taken = placed.where(passes > 0).select(F.col("_source").alias("_of"), F.col("block").alias("_block"), "weight", "whole", "last_rank", passes.alias("passes"))
+    taken = cut_lineage(taken)
+    if taken.count() <= SHORT_LIST:  # then no text moves
+        taken = F.broadcast(taken)
     joined = cut.join(taken, same & (F.col("block") == F.col("_block")), "left").where("n_tokens = 0 or passes > 0")
     # a row without words is in its block's first pass only
     joined = joined.withColumn("passes", F.when(F.col("n_tokens") == 0, F.lit(1)).otherwise(F.col("passes")))
