@@ -6,23 +6,31 @@ are a snippet.  So a window can only recur among the snippets of its anchor, and
 not meet texts that share no anchor with it.
 
 1. Each document gives its snippets' anchor, content code and place, but no text.
-2. Anchors of one document only are dropped; of equal snippets the earliest document keeps the
-   only copy to be indexed, and later documents are covered by it whole.
-3. The kept snippets of anchors that have several go to the shard of their anchor.  A shard builds
+2. Anchors of one document only are dropped.  An anchor with more than ``BLOCK`` different snippets is split by more
+   context: its windows are anchored again, by codes of more words, and at last by the windows themselves, of which
+   all snippets are equal.  So the rows for an anchor grow with its snippets, however many they are.
+3. Of equal snippets the earliest document keeps the only copy to be indexed, and later documents are
+   covered by it whole.
+4. The kept snippets of anchors that have several go to the shard of their anchor.  A shard builds
    an FM-index of its snippets and streams them through it: backward search gives each position's
    longest match in an earlier document, and positions with a match of 50 words or more are
-   windows to remove.  An anchor with many different snippets is split into blocks, and each pair of
-   blocks is a shard of its own, so that no task holds more than two blocks of it.
-4. The spans found meet their document again, which drops the words.
+   windows to remove.
+5. The spans found meet their document again, which drops the words.
 
 What is shuffled is in proportion to the number of snippets, about two for each 27 words, and to
 the text in repeats.  Whole texts are shuffled only where a snippet is cut from them or a span
 dropped; while the list of such documents is short (its length is checked) it is broadcast, so that
 the others stay where they are, and beyond that all texts meet it in a shuffle.
+
+Nulls: a null text has no words, a row without an id comes after all others.  Very long texts are taken in strips of
+windows.  Ties: of equal snippets in one document the first is kept.  Rows with one id, repeated ones too, lose
+nothing to each other.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,14 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from colloquy.llm.common import WordCodes, arrow_map, cut_lineage, doc_key, gram_codes, slices, table, text_key, utf8, written
+from colloquy.llm.common import WordCodes, arrow_map, cut_lineage, doc_key, free_names, gram_codes, mix, slices, table, text_key, utf8, written
 from colloquy.llm.decontaminate import joined
 from colloquy.llm.fm_index import FMIndex
 
 WINDOW = 50
 ANCHOR_WORDS = 24
 
-#: Snippets of one anchor in a block, and words in a shard.
+#: Different snippets of one anchor at most, and words in a shard.
 BLOCK = 256
 SHARD_WORDS = 200_000
 LEAST_SHARDS = 64
@@ -48,6 +56,9 @@ SHORT_LIST = 400_000
 #: Windows of a text that are handled at a time.
 STRIP = 1 << 20
 
+#: Columns that the operator adds on the way.
+INTERNAL = ("__doc", "__text_code", "__kept", "__spans")
+
 SNIPPET = "anchor long, content long, doc long, text_code long, first long, last long"
 SPANS = "array<struct<start:long,end:long>>"
 
@@ -76,8 +87,9 @@ def snippets(codes: np.ndarray, window: int, k: int):
     return np.concatenate(anchors), np.concatenate(firsts), np.concatenate(lasts)
 
 
-def snippet_rows(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """The snippets of all documents; ``docs`` has doc, text_code and text."""
+def snippet_rows(docs: DataFrame, window: int, k: int, level: int = 0) -> DataFrame:
+    """The snippets of all documents, of anchors of ``k`` words; ``docs`` has doc, text_code, text and, beyond level 0, the
+    ranges of windows that are anchored again."""
     codes_of = WordCodes()
 
     def scan(batch: pa.RecordBatch):
@@ -85,17 +97,21 @@ def snippet_rows(docs: DataFrame, window: int, k: int) -> DataFrame:
             rows = batch.slice(part.start, part.stop - part.start)
             out: list[list] = [[], [], [], [], [], []]
             ids, text_codes = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-            for doc, text_code, text in zip(ids, text_codes, utf8(rows.column(2)), strict=True):
+            ranges = rows.column(3).to_pylist() if level else [None] * rows.num_rows
+            for doc, text_code, text, own in zip(ids, text_codes, utf8(rows.column(2)), ranges, strict=True):
                 words = text.split() if text else []
                 if len(words) < window:
                     continue
                 codes = codes_of.of(words)
-                anchor, first, last = snippets(codes, window, k)
                 raw = memoryview(codes.tobytes())
-                content = [xxhash.xxh3_64_intdigest(raw[8 * a : 8 * (b + window)]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                n = len(anchor)
-                for column, values in zip(out, (anchor.view(np.int64), np.array(content, np.uint64).view(np.int64), np.full(n, doc), np.full(n, text_code), first, last), strict=True):
-                    column.append(values)
+                for begin, end in [(0, len(words))] if own is None else [(x["first"], x["last"] + window) for x in own]:
+                    anchor, first, last = snippets(codes[begin:end], window, k)
+                    first, last = first + begin, last + begin
+                    anchor = mix(anchor + np.uint64(level)) if level else anchor
+                    content = [xxhash.xxh3_64_intdigest(raw[8 * a : 8 * (b + window)]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                    n = len(anchor)
+                    for column, values in zip(out, (anchor.view(np.int64), np.array(content, np.uint64).view(np.int64), np.full(n, doc), np.full(n, text_code), first, last), strict=True):
+                        column.append(values)
             if out[0]:
                 names = ["anchor", "content", "doc", "text_code", "first", "last"]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=names)
@@ -103,56 +119,77 @@ def snippet_rows(docs: DataFrame, window: int, k: int) -> DataFrame:
     return arrow_map(docs, scan, SNIPPET)
 
 
-def cut_snippets(held: DataFrame, text_at: int, window: int) -> DataFrame:
-    """The snippets to index, a row for each shard they go to; ``held``: documents with the list of those they hold."""
+def holding(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """``docs`` that have a row in ``lists``, by __doc and __text_code, with its other column."""
+    if lists.count() <= SHORT_LIST:
+        docs = docs.join(F.broadcast(lists.select("__doc", "__text_code")), ["__doc", "__text_code"], "left_semi")
+    return docs.join(lists, ["__doc", "__text_code"])
+
+
+def shared_snippets(keyed: DataFrame, text_col: str, window: int, k: int) -> DataFrame:
+    """The snippets whose anchors several documents have, at most ``BLOCK`` different ones of an anchor."""
+    docs, parts = keyed.select("__doc", "__text_code", text_col), []
+    sizes = sorted({k, (k + window) // 2, window})
+    for level, size in enumerate(sizes):
+        runs = written(snippet_rows(docs, window, size, level), "snippets")
+        several = cut_lineage(runs.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor"))
+        shared = written(runs.join(several, "anchor"), "snippets-shared")
+        if size == window:
+            parts.append(shared)
+            break
+        crowded = shared.select("anchor", "content").distinct().groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+        crowded = cut_lineage(crowded.select("anchor"))
+        if not crowded.limit(1).count():
+            parts.append(shared)
+            break
+        parts.append(shared.join(crowded, "anchor", "left_anti"))
+        ranges = shared.join(crowded, "anchor", "left_semi").groupBy(F.col("doc").alias("__doc"), F.col("text_code").alias("__text_code"))
+        ranges = written(ranges.agg(F.collect_set(F.struct("first", "last")).alias("__ranges")), "snippets-again")
+        docs = holding(keyed.select("__doc", "__text_code", text_col), ranges)
+    return parts[0] if len(parts) == 1 else written(reduce(DataFrame.unionByName, parts), "snippets-split")
+
+
+def cut_snippets(held: DataFrame, text_at: int, window: int, n_shards: int) -> DataFrame:
+    """The snippets to index, with their shards; ``held``: documents with the list of those they hold."""
     at = held.schema.names.index
 
     def scan(batch: pa.RecordBatch):
         for part in slices(batch.num_rows, 500):
             rows = batch.slice(part.start, part.stop - part.start)
-            shards, anchors, contents, docs, roles, words_out = [], [], [], [], [], []
+            anchors, contents, docs, words_out = [], [], [], []
             for doc, text, kept in zip(rows.column(at("__doc")).to_pylist(), utf8(rows.column(text_at)), rows.column(at("__kept")).to_pylist(), strict=True):
                 words = text.split()
                 for x in kept:
-                    raw = b" ".join(words[x["first"] : x["last"] + window])
-                    for to in x["to"]:
-                        shards.append(to["shard"])
-                        roles.append(to["role"])
-                        anchors.append(x["anchor"])
-                        contents.append(x["content"])
-                        docs.append(doc)
-                        words_out.append(raw)
+                    anchors.append(x["anchor"])
+                    contents.append(x["content"])
+                    docs.append(doc)
+                    words_out.append(b" ".join(words[x["first"] : x["last"] + window]))
             long = pa.int64()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shards, long), pa.array(roles, pa.int32()), pa.array(anchors, long), pa.array(contents, long), pa.array(docs, long), pa.array(words_out, pa.binary())],
-                names=["shard", "role", "anchor", "content", "doc", "words"],
+                [pa.array([a % n_shards for a in anchors], long), pa.array(anchors, long), pa.array(contents, long), pa.array(docs, long), pa.array(words_out, pa.binary())],
+                names=["shard", "anchor", "content", "doc", "words"],
             )
 
-    return arrow_map(held, scan, "shard long, role int, anchor long, content long, doc long, words binary")
+    return arrow_map(held, scan, "shard long, anchor long, content long, doc long, words binary")
 
 
 def search_shard(window: int):
-    """Of a shard's rows, those whose role has bit 1 are indexed and those with bit 2 streamed."""
+    """Indexes a shard's snippets and streams them through the index."""
     codes_of = WordCodes()
 
     def run(rows: pa.Table) -> pa.Table:
-        role = rows.column("role").to_numpy()
         docs = rows.column("doc").to_numpy()
         words = [codes_of.of(x.split()) for x in rows.column("words").to_pylist()]
-        indexed, asked = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
         anchors, contents, spans = [], [], []
-        if len(indexed) and len(asked):
-            index = FMIndex([words[i] for i in indexed], docs[indexed])
-            found = index.matching_statistics([words[i] for i in asked], docs[asked])
-            anchor, content = rows.column("anchor").to_numpy(), rows.column("content").to_numpy()
-            for i, longest in zip(asked, found, strict=True):
-                above = np.flatnonzero(longest >= window)
-                if len(above):
-                    turn = np.flatnonzero(np.diff(above) > 1)
-                    first, last = above[np.concatenate([[0], turn + 1])], above[np.concatenate([turn, [len(above) - 1]])]
-                    anchors.append(anchor[i])
-                    contents.append(content[i])
-                    spans.append([{"start": s, "end": e + window} for s, e in zip(first.tolist(), last.tolist(), strict=True)])
+        anchor, content = rows.column("anchor").to_numpy(), rows.column("content").to_numpy()
+        for i, longest in enumerate(FMIndex(words, docs).matching_statistics(words, docs)):
+            above = np.flatnonzero(longest >= window)
+            if len(above):
+                turn = np.flatnonzero(np.diff(above) > 1)
+                first, last = above[np.concatenate([[0], turn + 1])], above[np.concatenate([turn, [len(above) - 1]])]
+                anchors.append(anchor[i])
+                contents.append(content[i])
+                spans.append([{"start": s, "end": e + window} for s, e in zip(first.tolist(), last.tolist(), strict=True)])
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table({"anchor": pa.array(anchors, pa.int64()), "content": pa.array(contents, pa.int64()), "found": pa.array(spans, span)})
 
@@ -211,36 +248,23 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     own = ["n_words", "n_removed", "removed", "kept_text"]
     docs = docs.drop(*own)
-    spark = docs.sparkSession
+    clashing = [c for c in docs.columns if c.lower() in INTERNAL]
+    if clashing:
+        names = dict(zip(clashing, free_names(docs, *(f"own{c}" for c in clashing)), strict=True))
+        found = remove_repeats(docs.withColumnsRenamed(names), id_col=names.get(id_col, id_col), text_col=names.get(text_col, text_col), window=window, anchor_words=anchor_words)
+        return found.withColumnsRenamed({v: k for k, v in names.items()})
     keyed = docs.withColumns({"__doc": doc_key(id_col), "__text_code": text_key(text_col)})
     text_at = keyed.schema.names.index(text_col)
-    runs = written(snippet_rows(keyed.select("__doc", "__text_code", text_col), window, min(anchor_words, window)), "snippets")
-
-    several = cut_lineage(runs.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor"))
-    shared = written(runs.join(several, "anchor"), "snippets-shared")
+    shared = shared_snippets(keyed, text_col, window, min(anchor_words, window))
     held = shared.groupBy("anchor", "content").agg(F.min(F.struct("doc", "text_code", "first", "last")).alias("x"))
     held = cut_lineage(held.select("anchor", "content", "x.*"))
-    per_anchor = cut_lineage(held.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
-    placed = held.join(per_anchor, "anchor")
+    per_anchor = held.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    placed = cut_lineage(held.join(per_anchor, "anchor"))
     words = placed.agg(F.sum(F.col("last") - F.col("first") + window)).first()[0] or 0
     n_shards = max(-(-words // SHARD_WORDS), LEAST_SHARDS)
-
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    block = F.pmod(F.xxhash64("content"), blocks)
-    cell = lambda i, j, role: F.struct((F.lit(-1) - F.pmod(F.xxhash64("anchor", i, j), F.lit(1 << 40))).alias("shard"), F.lit(role).alias("role"))
-    others = F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda i: i != block)
-    cells = F.concat(
-        F.array(cell(block, block, 3)),
-        F.transform(others, lambda j: cell(block, j, 1)),
-        F.transform(others, lambda i: cell(i, block, 2)),
-    )
-    one = F.array(F.struct(F.pmod("anchor", F.lit(n_shards)).alias("shard"), F.lit(3).alias("role")))
-    placed = placed.withColumn("to", F.when(F.col("n") <= BLOCK, one).otherwise(cells))
-    kept = placed.groupBy(F.col("doc").alias("__doc"), F.col("text_code").alias("__text_code")).agg(F.collect_list(F.struct("anchor", "content", "first", "last", "to")).alias("__kept"))
+    kept = placed.groupBy(F.col("doc").alias("__doc"), F.col("text_code").alias("__text_code")).agg(F.collect_list(F.struct("anchor", "content", "first", "last")).alias("__kept"))
     kept = written(kept, "snippets-held")
-    holders = kept.select("__doc", "__text_code")
-    texts = keyed.join(F.broadcast(holders), ["__doc", "__text_code"], "left_semi") if kept.count() <= SHORT_LIST else keyed
-    pieces = cut_snippets(texts.join(kept, ["__doc", "__text_code"]).select(*keyed.columns, "__kept"), text_at, window)
+    pieces = cut_snippets(holding(keyed, kept).select(*keyed.columns, "__kept"), text_at, window, n_shards)
     found = pieces.groupBy("shard").applyInArrow(search_shard(window), f"anchor long, content long, found {SPANS}")
     found = cut_lineage(found)
 
