@@ -9,7 +9,11 @@ selects the patterns in the bucket, and a direct comparison of the words confirm
 
 Patterns reach the workers in blocks of ``PATTERNS_PER_BLOCK``, whatever the benchmark's size.
 Each block is one pass over the texts, which adds its hits to those of the passes before it.
-Every text is searched whole, in the task that reads it: nothing is shuffled.
+Every text is searched whole, in the task that reads it: nothing is shuffled.  With more than one block the texts with
+the hits so far are written between passes, so that a worker holds the tables of one block at a time.
+
+Nulls: a null text has no words.  A very long text is one row, whose words are held while it is searched.  Repeated
+documents have equal hits; items with equal windows all count.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from colloquy.llm.common import Sent, arrow_map, table, utf8
+from colloquy.llm.common import Sent, arrow_map, table, utf8, written
 
 WINDOW = 10
 
@@ -156,6 +160,7 @@ def find_contamination(
 
     def one_pass(df: DataFrame, block: list) -> DataFrame:
         sent = Sent(spark, matchers(block))
+        sents.append(sent)
 
         def scan(batch: pa.RecordBatch):
             n_words, spans, items = [], [], []
@@ -176,9 +181,12 @@ def find_contamination(
 
         return arrow_map(df, scan, schema)
 
+    sents: list[Sent] = []
     blocks = pattern_blocks(benchmark, item_col, benchmark_text_col, window, per_block)
     found = one_pass(found, next(blocks, []))
     for block in blocks:
+        found = written(found, "hits")
+        sents.pop().release()
         found = one_pass(found, block)
     return found
 
