@@ -8,7 +8,11 @@ Before it computes a distance it bounds it from stored ones by the triangle ineq
 drops what cannot reach the best k found in any batch so far.  Scores are whole numbers.
 
 The queries are sent to the tasks in blocks of ``QUERY_BLOCK``; a block is one pass over the rows, which stay
-where they are.  What is shuffled is k rows a query and task.
+where they are.  What is shuffled is k rows a query and task.  With several blocks each one's results are written before
+the next is sent, so that driver and workers hold one block at a time.
+
+Nulls: rows without an id or a vector take no part.  Vectors may have any length.  Ties go to the smaller id;
+repeated rows are rows each.  Empty tables, or no queries, give no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import table
+from colloquy.llm.common import cut_lineage, table, written
 
 K = 5
 QUERY_BLOCK = 4096
@@ -127,12 +131,12 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, *, id_col: str = "vec
     Both tables have an id and an array<long> column; ties go to the smaller id, and a row with the
     query's id is none of its results.  Rows without an id or a vector take no part; a shorter vector counts
     as if it ended in zeros; repeated rows are rows each, and repeated queries share the ranks of their id,
-    each with results of its own.  Products must stay below 2 to the power 53 in size.
+    each with results of its own.  Products are exact: it raises where lengths allow for one of 2 to the power 53 or more.
     """
     spark = rows.sparkSession
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
-    asked = asked.groupBy("id", "v").agg(F.least(F.count("*"), F.lit(k)).alias("copies"))  # k ranks hold no more
+    asked = cut_lineage(asked.groupBy("id", "v").agg(F.least(F.count("*"), F.lit(k)).alias("copies")))  # k ranks hold no more
     n_blocks = max(1, -(-asked.count() // query_block))
     parts = []
     for block in range(n_blocks):
@@ -143,6 +147,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, *, id_col: str = "vec
 
         def scan(batches, sent=sent):
             ids, vectors, copies = sent.value
+            longest_query = np.sqrt((vectors**2).sum(axis=1).max(initial=0))
             best: list[list] = [[] for _ in ids]
             for batch in batches:
                 if not batch.num_rows:
@@ -150,6 +155,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, *, id_col: str = "vec
                 column = batch.column(1)
                 longest = max(vectors.shape[1], max(column.value_lengths().to_pylist()))
                 tree = MTree(matrix(column, longest), batch.column(0).to_numpy())
+                if longest_query * np.sqrt(tree.limit) >= 2**53:
+                    raise OverflowError("inner products may exceed what doubles hold exactly")
                 wide = np.zeros((len(ids), longest))
                 wide[:, : vectors.shape[1]] = vectors
                 for i in range(len(ids)):
@@ -158,7 +165,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, *, id_col: str = "vec
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
 
-        parts.append(rows.mapInArrow(scan, "query_id long, vec_id long, score long"))
+        part = rows.mapInArrow(scan, "query_id long, vec_id long, score long")
+        if n_blocks > 1:
+            part = written(part, "top")
+            sent.unpersist()
+        parts.append(part)
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
