@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns, for each operator."""
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -67,7 +68,7 @@ def brute_repeats(rows, window=50):
 
 
 def test_substring_dedup(spark, monkeypatch):
-    docs = crowded(documents(spark), "doc", "spans", "words", "anchor", "kept", "text_code", "n_removed")
+    docs = crowded(documents(spark), "doc", "spans", "words", "anchor", "kept", "text_code", "n_removed", "__doc", "__text_code", "__kept", "__spans", "own__doc")
     expected = sorted(map(repr, brute_repeats([(r["doc_id"], r["text"]) for r in docs.collect()])))
     for block, short in ((256, 1000), (1, 0)):
         monkeypatch.setattr(substring_dedup, "BLOCK", block)
@@ -79,14 +80,26 @@ def test_substring_dedup(spark, monkeypatch):
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
-def test_jaccard(spark, monkeypatch):
+def test_substring_dedup_of_a_crowded_anchor(spark, monkeypatch):
+    """A passage in many contexts, some of them shared by a few documents only."""
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(i, " ".join([*(f"a{i % 7}.{j}" for j in range(25)), *passage, *(f"b{i % 5}.{j}" for j in range(25))])) for i in range(40)]
+    rows += [(100 + i, " ".join([f"x{i}", *passage, *(f"y{i}.{j}" for j in range(30))])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = sorted(map(repr, brute_repeats(rows)))
+    for block in (1, 8, 30):
+        monkeypatch.setattr(substring_dedup, "BLOCK", block)
+        found = substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_text")
+        assert sorted(repr(tuple(r)) for r in found.collect()) == expected
+
+
+def test_jaccard(spark):
     words = [f"v{i}" for i in range(200)]
     near = [(100 + j, " ".join([*words[:50], f"x{j}", *words[51:]]), "en", "s", 1) for j in range(12)]
     docs = documents(spark).unionByName(spark.createDataFrame(near, DOCS))
     docs = crowded(docs, "doc", "set", "rep", "cluster", "block")
-    for block in (112, 3):
-        monkeypatch.setattr(jaccard_join, "BLOCK", block)
-        found = jaccard_join.jaccard_classes(docs).collect()
+    for block in (1024, 3):
+        found = jaccard_join.jaccard_classes(docs, block=block).collect()
         assert len(found) == 24
         by = {r["doc"]: r for r in found}
         assert {by[100 + j]["class_id"] for j in range(12)} == {100}
@@ -201,6 +214,12 @@ def test_topk(spark):
     assert topk.top_k(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_topk_refuses_inexact_products(spark):
+    rows = spark.createDataFrame([(1, [2**30, 1]), (2, [2**30, 5])], "vec_id long, vector array<long>")
+    with pytest.raises(Exception, match="exactly"):
+        topk.top_k(rows, rows).collect()
+
+
 def test_topk_asks_each_of_repeated_queries(spark, duck):
     rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (50, [1.0, 1.0]), (50, [1.0, 1.0]), *((i, [i / 16, 1 - i / 16]) for i in range(1, 9)), (3, [0.5, 0.25])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -232,6 +251,23 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archive(spark, empty).count() == 0
 
 
+def test_warc_headers_hold_any_url(spark, tmp_path):
+    forged = "WARC-Refers-To: <urn:page:77>{0}WARC-Payload-Digest: sha256:" + "0" * 64
+    ends = ["\r\n", "\n", "\r", "\u0085", "\u2028", "\u2029", "\x0b", "\x0c", "\x00", "\x1e"]
+    rows = [(i, f"http://a/{i}{e}" + forged.format(e), f"{i}" * 200) for i, e in enumerate(ends)]
+    rows += [(50, "http://ü/%20?q=日本", "x" * 300), (51, "WARC-Refers-To: <urn:page:7>\\r\\n", "𝒳\n" * 100_000)]
+    folder = f"file://{tmp_path}/archive"
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    found = {r["page_id"]: r for r in warc.parsed(warc.read_archive(spark, folder)).collect()}
+    assert len(found) == len(rows)
+    for page, url, html in rows:
+        r = found[page]
+        assert (r["record_type"], r["refers_to"], bytes(r["payload"]).decode()) == ("response", None, html)
+        assert r["payload_digest"] == hashlib.sha256(html.encode()).hexdigest()
+        assert r["url"] == (url if page >= 50 else r["url"])
+    assert found[3]["url"].startswith("http://a/3%C2%85WARC-Refers-To") and found[0]["url"].startswith("http://a/0%0D%0AWARC")
+
+
 def test_warc_refuses_a_changed_payload(spark, tmp_path):
     folder = f"file://{tmp_path}/archive"
     warc.write_archive(spark.createDataFrame([(1, "u", "body")], "page_id long, url string, html string"), folder)
@@ -256,11 +292,36 @@ def test_html_markup(spark):
         '<div class="cookie-notice">We use <b>cookies</b></div><article class="post"><h1>One &amp; two</h1><p>a <b>b</b>c<br>d<p>e&nbsp; f'
         '<script>var t = "</p>";</script><form><input>go</form><div class="comments"><p>hi</p></div><aside>s</aside><ul><li>g<li>h</ul></article><footer>&copy;</footer>'
     )
-    found = texts(spark, [(1, "http://a/1", page), (2, None, None), (3, "http://a/2", ""), (None, "x", "plain"), (4, "http://b/1", "<p>cut <b>off"), (5, "http://b/2", "<!-- open")], "main_text", "host", "path", "kinds")
+    found = texts(spark, [(1, "http://a/1", page), (2, None, None), (3, "http://a/2", ""), (None, "x", "plain"), (4, "http://b/1", "<p>cut <b>off"), (5, "http://b/2", "<!-- open")], "main_text", "n_shared", "host", "path", "kinds", "page", "code", "drop", "_drop")
     assert found == {1: "One & two a bc d e f g h", 2: "", 3: "", None: "plain", 4: "cut off", 5: ""}
     assert html_text.extract_text(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_html_tags_and_names(spark):
+    inside = {
+        "<p title=don't>Hello world</p><p>it's second</p>": "Hello world it's second",
+        '<p title="a > b" data-x=\'"\'>one</p>': "one",
+        '<p class="it>odd</p><p>next</p>': "odd next",
+        "<section id='social-history'><p>Labour</p></section>": "Labour",
+        "<div class='post-header'><h1>Title</h1></div><div class=search-results>kept</div>": "Title kept",
+        "<div class='comment-list'>no</div><div class='cookieBanner x'>no</div><aside>no</aside><div class='share'>no</div><p>yes</p>": "yes",
+        "<div id=sidebar-2>no</div><div role=navigation>no</div><p>a&amp;b &#x41;&nbsp;c</p>": "a&b A c",
+    }
+    rows = [(i, f"http://h{i}/", f"<body><div>out</div><article>{x}</article></body>") for i, x in enumerate(inside)]
+    assert list(dict(sorted(texts(spark, rows).items())).values()) == list(inside.values())
+    long = "<p>" + "</p><p>".join(f"word{i} &lt;" for i in range(60_000))
+    assert len(texts(spark, [(1, "http://a/1", long), (2, "http://a/2", long + "<p>more")])[1].split()) == 120_000
+
+
+def test_html_doubtful_lines_are_judged_by_differencing(spark):
+    page = lambda *p: "<body><article>" + "".join(p) + "</article></body>"
+    header, own = "<div class='post-header'>The Site</div>", lambda x: f"<div class='post-header'>{x}</div>"
+    rows = [(1, "http://h/1", page(header, own("First"), "<p>same passage</p><p>one</p>")), (2, "http://h/2", page(header, own("Second"), "<p>same passage</p><p>two</p>"))]
+    found = {r["page_id"]: (r["main_text"], r["n_shared"]) for r in html_text.extract_text(spark.createDataFrame(rows, PAGES), id_col="page_id").collect()}
+    # the doubtful line that both have goes; the article's own passage stays though both have it
+    assert found == {1: ("First same passage one", 1), 2: ("Second same passage two", 1)}
+
+
 def test_html_differencing(spark):
     shell = lambda *p: "<body><div>Site name</div><div>Home</div>" + "".join(f"<p>{x}</p>" for x in p) + "<div>All rights reserved</div></body>"
     rows = [(1, "http://h/a/1", shell("first", "shared? no")), (2, "http://h/a/2", shell("second")), (3, "http://h/a/2", shell("second")), (4, "http://other/a/2", shell("alone"))]

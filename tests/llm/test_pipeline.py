@@ -1,11 +1,15 @@
 """The pipeline's stages against brute force, and the subpackage's queries against their SQL."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from colloquy.llm import queries
+from colloquy.llm import mixing, queries
+from colloquy.llm import toxicity as toxic
 from tests.conftest import same_rows
-from tests.llm.test_edges import DOCS, brute_repeats, toxic_rows
+from tests.llm.test_edges import DOCS, brute_repeats, documents, toxic_rows
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -106,6 +110,64 @@ def test_toxic_stage(spark, tmp_path):
     assert len({d for d, _, t in labels if not t} - kept) <= 5
 
 
+def plain_words(text):
+    return re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+
+
+def contaminated(text, items):
+    words = plain_words(text)
+    for item in items:
+        size = min(10, len(item))
+        windows = {tuple(item[i : i + size]) for i in range(len(item) - size + 1)}
+        if size and any(tuple(words[i : i + size]) in windows for i in range(len(words) - size + 1)):
+            return True
+    return False
+
+
+def test_stages_equal_brute_force(spark, sf_dir, tmp_path):
+    """Each stage on all that its predecessor kept; the first by its own scores, of which the cut is checked."""
+    docs = corpus(spark, sf_dir)
+    stage = dict(pipeline.STAGES)
+
+    def step(name, docs):
+        stage[name](spark, docs, sf_dir).write.parquet(f"{tmp_path}/{name}")
+        found = spark.read.parquet(f"{tmp_path}/{name}")
+        return found, sorted((r["doc_id"], r["text"]) for r in found.collect())
+
+    scored = toxic.score_toxicity(docs, toxic.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).collect()
+    docs, rows = step("toxicity", docs)
+    assert rows == sorted((r["doc_id"], r["text"]) for r in scored if r["score"] < 0.3)
+    classes, _ = brute_classes(rows)
+    expected = [r for r in rows if r[0] in set(classes)]
+    docs, rows = step("near_duplicates", docs)
+    assert rows == expected
+    expected = [(d, kept if gone else text) for (d, n, gone, kept), (_, text) in zip(brute_repeats(rows), rows, strict=True) if n == 0 or gone < n]
+    docs, rows = step("substring_dedup", docs)
+    assert rows == expected
+    items = [plain_words(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    expected = [r for r in rows if not contaminated(r[1], items)]
+    assert len(expected) < len(rows)
+    docs, rows = step("decontaminate", docs)
+    assert rows == expected
+    expected = sorted((r["doc_id"], r["text"], r["pass"]) for r in mixing.mix_sources(docs).collect())
+    found = stage["mix"](spark, docs, sf_dir)
+    assert sorted((r["doc_id"], r["text"], r["pass"]) for r in found.collect()) == expected
+
+
+@pytest.mark.parametrize("name, stage", pipeline.STAGES)
+def test_stages_keep_all_columns(spark, sf_dir, name, stage):
+    """Extra columns named like those that the operators add or use, null rows, and an empty table."""
+    names = ["n_words", "n_removed", "kept_text", "removed", "weight", "score", "predicted", "spans", "item_ids", "doc", "__doc", "__rest", "row", "pass"]
+    docs = documents(spark).withColumns({n: F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in names})
+    found = stage(spark, docs, sf_dir)
+    assert found.columns[: len(docs.columns)] == docs.columns
+    assert [f.dataType for f in found.schema][: len(docs.columns)] == [f.dataType for f in docs.schema]
+    rows = found.collect()
+    assert rows and all(r[n] == f"{n} of {'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for n in names)
+    assert any(r["text"] is None for r in rows)
+    assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
 def test_run_applies_all_stages(spark, sf_dir):
     found = pipeline.run(spark, sf_dir)
     docs = corpus(spark, sf_dir)
