@@ -27,10 +27,6 @@ class InvalidFilterError(ConfigurationError):
     """A file filter that no file could pass."""
 
 
-class MergeError(ValueError):
-    """Segments that can't be merged."""
-
-
 class DirectoryNotFoundError(FileNotFoundError):
     """A folder to scan that is missing, or no folder."""
 
@@ -57,8 +53,12 @@ class BatchOptions:
     #: "labelled" or "timestamped".
     parser: str = "labelled"
     merge: MergeOptions = MergeOptions()
+    #: Tasks that read and parse at the same time at most; None: as many as there are cores.
+    max_concurrent: int | None = None
 
     def __post_init__(self):
+        if self.max_concurrent is not None and self.max_concurrent < 1:
+            raise ConfigurationError("max_concurrent must be positive")
         if self.parser not in ("labelled", "timestamped"):
             raise ConfigurationError(f"no such parser: {self.parser}")
         if not 0 <= self.default_confidence <= 1:

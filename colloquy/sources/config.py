@@ -96,3 +96,20 @@ def load(path: str | Path | None = None) -> Configuration:
         return parse(yaml.safe_load(found.read_text(encoding="utf-8")) or {})
     except (yaml.YAMLError, ValueError) as e:
         raise ConfigurationError(f"{found}: {e}") from e
+
+
+_current: dict[Path | None, Configuration] = {}
+
+
+def current(path: str | Path | None = None) -> Configuration:
+    """The configuration, loaded once for a path."""
+    key = Path(path) if path is not None else None
+    if key not in _current:
+        _current[key] = load(key)
+    return _current[key]
+
+
+def reload(path: str | Path | None = None) -> Configuration:
+    """Loads it afresh for all later calls of ``current``."""
+    _current.pop(Path(path) if path is not None else None, None)
+    return current(path)

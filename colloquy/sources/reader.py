@@ -1,60 +1,147 @@
-"""Files to texts: whole files, decoded by their byte order mark or as told."""
+"""Files to texts: whole files, decoded by their byte order mark, as told, or by what their bytes look like."""
 
 from __future__ import annotations
 
+import codecs
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
 from colloquy.functions.text import byte_order_mark, decoded
+from colloquy.schema import ConfigurationError
+from colloquy.sources.discovery import FileFilter, as_pattern, file_lengths, files_reader, unscanned
 
 NATIVE = ("utf-8", "utf-8-sig", "utf-16-le", "utf-16-be")
 
+#: Bytes that are looked at to tell an encoding, and the share of characters that have to look right.
+SAMPLE = 65_536
+CONFIDENCE = 0.7
+
+# Encodings that are tried on bytes that aren't UTF-8, each with the characters that speak for it.
+GUESSES = (
+    ("euc-kr", ((0xAC00, 0xD7A3),)),
+    ("cp949", ((0xAC00, 0xD7A3),)),
+    ("shift_jis", ((0x3040, 0x30FF),)),
+    ("euc-jp", ((0x3040, 0x30FF),)),
+    ("gb18030", ((0x4E00, 0x9FFF),)),
+    ("windows-1252", ((0xC0, 0xFF), (0x2018, 0x201D))),
+)
+
+
+def guess_encoding(content: bytes) -> str:
+    """The first encoding in which the bytes decode and enough of their characters beyond ASCII are of its own kind; else UTF-8."""
+    sample = content[:SAMPLE]
+    for name, ranges in GUESSES:
+        try:  # a character may be cut off at the sample's end
+            text = codecs.getincrementaldecoder(name)().decode(sample, final=len(content) <= SAMPLE)
+        except UnicodeDecodeError:
+            continue
+        beyond = [ord(c) for c in text if ord(c) >= 0x80]
+        if sum(any(a <= c <= b for a, b in ranges) for c in beyond) > CONFIDENCE * len(beyond):
+            return name
+    return "utf-8"
+
 
-def decode_legacy(content: Column, encoding: Column) -> Column:
-    """For charsets that the JVM expressions don't cover, such as EUC-KR; malformed bytes are replaced."""
+def _decoded_others(content: Column, encoding: Column) -> Column:
+    """encoding and text of contents that the JVM can't decode; nulls for null contents."""
 
-    @F.pandas_udf(StringType())
-    def decode(content: pd.Series, encoding: pd.Series) -> pd.Series:
-        return pd.Series([None if c is None else bytes(c).decode(e, errors="replace") for c, e in zip(content, encoding, strict=True)], dtype=object)
+    @F.pandas_udf(StructType().add("encoding", StringType()).add("text", StringType()))
+    def decode(content: pd.Series, encoding: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c, e in zip(content, encoding, strict=True):
+            if c is None:
+                rows.append((None, None))
+                continue
+            name = e or guess_encoding(bytes(c))
+            try:
+                rows.append((name, bytes(c).decode(name, errors="replace")))
+            except LookupError:
+                rows.append((name, None))
+        return pd.DataFrame(rows, columns=["encoding", "text"])
 
     return decode(content, encoding)
 
 
+def decode_contents(files: DataFrame, encoding: str | None = None) -> DataFrame:
+    """Adds ``text`` and ``encoding`` to rows with ``content``.
+
+    ``encoding``, or a column of that name for each row, tells the charset; where neither does, a byte order
+    mark decides, then whether the bytes are UTF-8, then what they look like.  Malformed bytes are replaced; the text
+    is null where the charset is unknown.  Only contents that the JVM can't decode go through Python.
+    """
+    if encoding is not None:
+        try:
+            codecs.lookup(encoding)
+        except LookupError as e:
+            raise ConfigurationError(f"no such encoding: {encoding}") from e
+    told = F.lit(encoding) if encoding else F.col("encoding") if "encoding" in files.columns else F.lit(None).cast("string")
+    content = F.col("content")
+    utf8 = F.when(F.is_valid_utf8(content.cast("string")), F.lit("utf-8"))
+    files = files.withColumn("encoding", F.coalesce(F.nullif(F.lower(told), F.lit("")), byte_order_mark(content), utf8))
+    native = F.coalesce(F.col("encoding").isin(*NATIVE), F.lit(False))
+    if encoding and encoding.lower() in NATIVE:
+        return files.withColumn("text", decoded(content, F.col("encoding")))
+    files = files.withColumn("_other", _decoded_others(F.when(~native, content), F.col("encoding")))
+    text = F.when(native, decoded(content, F.col("encoding"))).otherwise(F.col("_other.text"))
+    return files.withColumns({"text": text, "encoding": F.coalesce("encoding", "_other.encoding")}).drop("_other")
+
+
+def _key(path: str) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def read_texts(spark: SparkSession, files: DataFrame | list[str], encoding: str | None = None) -> DataFrame:
     """doc_id (the path), text, encoding and length of files; a file that can't be read has an error instead of a text.
 
-    ``files``: paths, or a DataFrame with ``path`` and ``length``, of which empty files get an empty
-    text.  Without ``encoding`` a byte order mark decides, and else it is UTF-8.
+    ``files``: paths, or a DataFrame with ``path``, ``length``, of which empty files get an empty text, and perhaps ``encoding``.
+    Paths are taken as they are, whatever characters they have.  They pass the driver, as any list of paths to Spark
+    does; ``scan_texts`` reads folders without that.
     """
     if isinstance(files, list):
-        files = spark.createDataFrame([(p,) for p in files], "path string").withColumn("length", F.lit(None).cast("long"))
-    listed = files.select("path", "length")
-    paths = [r["path"] for r in listed.where("length is null or length > 0").select("path").toLocalIterator()]
-    if not paths:
-        return listed.select(F.col("path").alias("doc_id"), F.lit("").alias("text"), F.lit(encoding or "utf-8").alias("encoding"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("string").alias("error"))
-    content = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(paths).select("path", "content", F.col("length").alias("n"))
-    name = F.lit(encoding.lower()) if encoding else F.coalesce(byte_order_mark(F.col("content")), F.lit("utf-8"))
-    content = content.withColumn("encoding", name)
-    if encoding and encoding.lower() not in NATIVE:
-        text = decode_legacy(F.col("content"), F.col("encoding"))
+        files = spark.createDataFrame(list(zip(files, file_lengths(spark, files), strict=True)), "path string, length long")
+    told = F.col("encoding") if "encoding" in files.columns else F.lit(None).cast("string")
+    listed = files.select("path", "length", told.alias("told"), _key("path").alias("key"))
+    wanted = [r["path"] for r in listed.where("length > 0").select("path").distinct().toLocalIterator()]
+    paths = [as_pattern(p) for p, n in zip(wanted, file_lengths(spark, wanted), strict=True) if n is not None]  # a missing one would end the read
+    if paths:
+        found = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(paths).select(_key("path").alias("key"), "content", F.col("length").alias("n"))
     else:
-        text = decoded(F.col("content"), F.col("encoding"))
-    found = content.select(F.regexp_replace("path", "^file:/+", "/").alias("key"), text.alias("text"), "encoding", "n")
-    joined = listed.withColumn("key", F.regexp_replace("path", "^file:/+", "/")).join(found, "key", "left")
-    missing = F.when(F.col("text").isNull() & (F.coalesce("length", F.lit(1)) > 0), F.concat(F.lit("cannot read "), F.col("path")))
-    return joined.select(
+        found = spark.createDataFrame([], "key string, content binary, n long")
+    joined = decode_contents(listed.withColumnRenamed("told", "encoding").join(found, "key", "left"), encoding)
+    return _finished(joined, F.col("content").isNull() & (F.coalesce("length", F.lit(1)) > 0))
+
+
+def _finished(files: DataFrame, missing: Column) -> DataFrame:
+    error = F.when(missing, F.concat(F.lit("cannot read "), F.col("path")))
+    error = F.coalesce(error, F.when(F.col("content").isNotNull() & F.col("text").isNull(), F.concat(F.lit("unknown encoding "), F.col("encoding"))))
+    return files.select(
         F.col("path").alias("doc_id"),
-        F.when(missing.isNull(), F.coalesce("text", F.lit(""))).alias("text"),
-        F.coalesce("encoding", F.lit(encoding or "utf-8")).alias("encoding"),
-        F.coalesce("n", "length", F.lit(0)).cast("long").alias("length"),
-        missing.alias("error"),
+        F.when(error.isNull(), F.coalesce("text", F.lit(""))).alias("text"),
+        F.coalesce("encoding", F.lit("utf-8")).alias("encoding"),
+        F.coalesce(F.col("n") if "n" in files.columns else F.lit(None), "length", F.lit(0)).cast("long").alias("length"),
+        error.alias("error"),
     )
 
 
-def scan_texts(spark: SparkSession, directory: str, pattern: str = "*.txt", recursive: bool = False) -> DataFrame:
-    """doc_id, text, encoding and length of a folder's files by Spark's own listing: nothing passes the driver."""
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
-    content = reader.load(directory).withColumn("encoding", F.coalesce(byte_order_mark(F.col("content")), F.lit("utf-8")))
-    return content.select(F.col("path").alias("doc_id"), decoded(F.col("content"), F.col("encoding")).alias("text"), "encoding", "length", F.lit(None).cast("string").alias("error"))
+def scan_texts(spark: SparkSession, directory: str, where: FileFilter = FileFilter(), encoding: str | None = None, exact: bool = True) -> DataFrame:
+    """The same columns for a folder's files by Spark's own listing: their paths and contents don't pass the driver.
+
+    Spark's listing leaves out empty and hidden files and follows links.  With ``exact`` a listing on the driver adds the empty
+    files, with an empty text, and the hidden ones, which Spark refuses to read, with an error, and takes the links away.
+    """
+    content = files_reader(spark, directory, where).load(directory).where(where.condition())
+    texts = _finished(decode_contents(content.select("path", "length", "content"), encoding), F.lit(False))
+    if not exact:
+        return texts
+    others = unscanned(spark, directory, where)
+    missing = others.where("not link").select(
+        F.col("path").alias("doc_id"),
+        F.when(F.col("length") == 0, "").alias("text"),
+        F.lit(encoding.lower() if encoding else "utf-8").alias("encoding"),
+        "length",
+        F.when(F.col("length") > 0, F.concat(F.lit("cannot read hidden file "), F.col("path"))).alias("error"),
+    )
+    links = others.where("link").select(_key("path").alias("_key"))
+    return texts.join(links, _key("doc_id") == F.col("_key"), "left_anti").unionByName(missing)

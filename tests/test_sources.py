@@ -73,6 +73,50 @@ def test_directory_to_transcripts(spark, folder):
     assert single["content"] == "hi"
 
 
+def test_names_are_no_patterns(spark, tmp_path):
+    top = tmp_path / "calls {x} [1]"
+    top.mkdir()
+    for name in ("a.txt", "b[1].txt", "c 100%.txt", "d{e}.txt", "f*.txt", ".hidden.txt", "none.txt", "ü.txt"):
+        (top / name).write_text("" if name == "none.txt" else "A: hi")
+    expected = {"a.txt", "b[1].txt", "c 100%.txt", "d{e}.txt", "f*.txt", "none.txt", "ü.txt"}
+    last = lambda df: {r["doc_id"].rsplit("/", 1)[1] for r in df.collect()}
+    found = batch.process_directory(spark, str(top))
+    assert last(found.transcripts) == expected
+    assert last(found.errors) == {".hidden.txt"}
+    assert last(batch.process_directory(spark, str(top), exact=False).status) == expected - {"none.txt"}
+    assert last(batch.process_directory(spark, str(top), "b[[]1].txt").transcripts) == {"b[1].txt"}
+    listed = batch.process_files(spark, [str(top / n) for n in (*sorted(expected), "gone.txt")])
+    assert last(listed.transcripts) == expected
+    assert last(listed.errors) == {"gone.txt"}
+    for missing in (top / "none", top / "a.txt"):
+        with pytest.raises(DirectoryNotFoundError):
+            batch.process_directory(spark, str(missing))
+
+
+def test_directory_with_filter_and_order(spark, folder):
+    where = discovery.FileFilter(pattern="*.txt", recursive=True, min_size=6)
+    found = batch.process_directory(spark, str(folder), where=where)
+    files = batch.discover(spark, str(folder), where)
+    for order, expected in ((discovery.SortOrder.NAME, ["File2.txt", "file4.txt"]), (discovery.SortOrder.SIZE, ["file4.txt", "File2.txt"]), (discovery.SortOrder.NAME_DESC, ["file4.txt", "File2.txt"])):
+        assert [r["doc_id"].rsplit("/", 1)[1] for r in batch.in_order(found.transcripts, files, order).collect()] == expected
+
+
+def test_encodings(spark, tmp_path):
+    korean, french = "갑: 안녕하세요 반갑습니다", "Élodie: déjà vu, à bientôt"
+    for name, text, encoding in (("k.txt", korean, "cp949"), ("e.txt", korean, "euc-kr"), ("f.txt", french, "windows-1252"), ("u.txt", korean, "utf-8")):
+        (tmp_path / name).write_bytes(text.encode(encoding))
+    for options in (BatchOptions(), BatchOptions(max_concurrent=2)):
+        found = {r["doc_id"].rsplit("/", 1)[1]: r["text"] for r in batch.process_directory(spark, str(tmp_path), options=options).texts.collect()}
+        assert found == {"k.txt": korean, "e.txt": korean, "f.txt": french, "u.txt": korean}
+    told = batch.process_directory(spark, str(tmp_path), "k.txt", options=BatchOptions(encoding="CP949")).texts.first()
+    assert (told["text"], told["encoding"]) == (korean, "cp949")
+    rows = spark.createDataFrame([(str(tmp_path / "k.txt"), 9, "euc-kr"), (str(tmp_path / "u.txt"), 9, None), (str(tmp_path / "f.txt"), 9, "no such")], "path string, length long, encoding string")
+    by = {r["doc_id"].rsplit("/", 1)[1]: (r["text"], r["error"]) for r in reader.read_texts(spark, rows).collect()}
+    assert by == {"k.txt": (korean, None), "u.txt": (korean, None), "f.txt": (None, "unknown encoding no such")}
+    with pytest.raises(ConfigurationError):
+        batch.process_directory(spark, str(tmp_path), options=BatchOptions(encoding="no such"))
+
+
 def test_legacy_charset(spark, tmp_path):
     (tmp_path / "k.txt").write_bytes("갑: 안녕".encode("euc-kr"))
     assert reader.read_texts(spark, [str(tmp_path / "k.txt")], "euc-kr").first()["text"] == "갑: 안녕"
@@ -87,6 +131,10 @@ def test_config(tmp_path, spark):
     assert (found.get("analysis_period.end"), found.get("depth.x"), found.get("none.x", 7)) == ("2025-12-31", 3, 7)
     assert found.speaker_table(spark).count() == 2
     assert config.load(tmp_path / "missing.yaml") == config.Configuration()
+    assert config.current(path) is config.current(path)
+    before = config.current(path)
+    path.write_text("version: '3'")
+    assert config.current(path) is before and config.reload(path).version == "3"
     path.write_text("analysis_period: {start: 2025-13-01, end: 2025-12-31}")
     with pytest.raises(ConfigurationError):
         config.load(path)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,7 +20,17 @@ def test_ranges_are_strict(spark, three):
     assert ids(transcripts.in_range(three, 0, 15)) == {"s0", "s1"}
     assert ids(transcripts.in_range(three, 10, 20)) == {"s1"}
     ranges = spark.createDataFrame([(1, 0.0, 15.0), (2, 10.0, 20.0)], "range_id int, range_start double, range_end double")
-    assert {(r["range_id"], r["seg_id"]) for r in transcripts.in_ranges(three, ranges, width=3.0).collect()} == {(1, "s0"), (1, "s1"), (2, "s1")}
+    assert {(r["range_id"], r["seg_id"]) for r in transcripts.in_ranges(three, ranges).collect()} == {(1, "s0"), (1, "s1"), (2, "s1")}
+
+
+def test_ranges_of_any_length_against_brute_force(spark):
+    rng = random.Random(3)
+    segs = [("d", i, f"s{i}", "a", s, s + rng.choice([0.0, 0.5, 1, 15.9, 16, 300, 90_000.0]), "c", 1.0) for i, s in enumerate(rng.choice([0.0, 15.5, 16.0, 3600.0, 1e9]) + rng.uniform(-20, 400) for _ in range(80))]
+    given = [(i, s, s + rng.choice([-5.0, 0.0, 0.1, 16.0, 1000.0, 4e7, 3e9])) for i, s in enumerate(rng.choice([-1.0, 0.0, 16.0, 3500.0, 1e9]) + rng.uniform(0, 300) for _ in range(60))]
+    given += [(100, None, 5.0), (101, 0.0, None)]
+    expected = sorted((r, x[2]) for r, a, b in given if a is not None and b is not None and a < b for x in segs if x[4] < x[5] and x[4] < b and x[5] > a)
+    found = transcripts.in_ranges(spark.createDataFrame(segs, SEGMENT), spark.createDataFrame(given, "range_id int, range_start double, range_end double"))
+    assert sorted((r["range_id"], r["seg_id"]) for r in found.collect()) == expected
 
 
 def test_summaries_keep_empty_documents(spark, three):
@@ -65,5 +77,14 @@ def test_bad_documents_are_rows_or_errors(spark):
     assert [r["doc_id"] for r in found.errors.collect()] == ["bad"]
     row = batch.summary(found).first()
     assert (row["total_files"], row["failed_files"], row["success_rate"]) == (2, 1, 0.5)
+    assert [(r["doc_id"], r["error"].split(" seg_")[0]) for r in found.errors.collect()] == [("bad", "invalid segment")]
+    assert {r["doc_id"] for r in found.segments.collect()} == {"good"}
     with pytest.raises(Exception, match="invalid segment"):
         batch.process_texts(texts, BatchOptions(parser="timestamped", skip_on_error=False)).transcripts.collect()
+
+
+def test_one_parse_and_one_exchange(spark, sf_dir):
+    texts = spark.createDataFrame([("a", "X: hello\nY: you")], "doc_id string, text string").repartition(3)
+    plan = batch.process_texts(texts).transcripts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all(text") <= 2  # the turns' labels and their contents, in one projection
+    assert plan.count("Generate ") == 1
