@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from colloquy.functions.text import joined_content
-from colloquy.schema import MergeError, MergeOptions
+from colloquy.schema import MergeOptions
 
 #: Seconds of overlap, and of silence, from which neighbours are reported.
 MOST_OVERLAP = 1.0
@@ -93,10 +93,19 @@ def merge_segments(segments: DataFrame, options: MergeOptions = MergeOptions())
     )
 
 
-def merge_pair(a: dict, b: dict) -> None:
-    """Refuses what no merge may do: two speakers in one segment."""
-    if a["speaker"] != b["speaker"]:
-        raise MergeError(f"speakers differ: {a['speaker']} and {b['speaker']}")
+def merge_pair(a: Column, b: Column) -> Column:
+    """Two segments, as structs, as one; raises if their speakers differ."""
+    differ = F.concat(F.lit("speakers differ: "), a["speaker"], F.lit(" and "), b["speaker"])
+    one = F.struct(
+        a["ord"].alias("ord"),
+        F.concat(a["seg_id"], F.lit("_merged")).alias("seg_id"),
+        a["speaker"].alias("speaker"),
+        a["start_time"].alias("start_time"),
+        b["end_time"].alias("end_time"),
+        joined_content(a["content"], b["content"]).alias("content"),
+        merged_confidence(a, b).alias("confidence"),
+    )
+    return F.when(a["speaker"] == b["speaker"], one).otherwise(F.raise_error(differ))
 
 
 def merge_stats(segments: DataFrame, options: MergeOptions = MergeOptions()) -> DataFrame:

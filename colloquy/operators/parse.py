@@ -14,7 +14,8 @@ from colloquy.functions.text import SPACE, clock_seconds, estimated_seconds, str
 from colloquy.schema import DEFAULT_CONFIDENCE, DEFAULT_SPEAKER
 
 # The formats of labelled turns and of timestamped entries.
-LABELLED = r"(?s)([^\n:]+?):\s*(.+?)(?=\n[^\n:]+:|\n\n|\z)"
+TURN = r"([^\n:]+?):\s*(.+?)(?=\n[^\n:]+:|\n\n|\z)"
+LABELLED = f"(?s){TURN}"
 TIMESTAMPED = r"(?s)[\[\(]?(?:(\d{1,2}):)?(\d{1,2}):(\d{2})[\]\)]?\s*(?:([^\n:]+?):\s*)?(.+?)(?=[\[\(]?\d{1,2}:|\n\n|\z)"
 
 

@@ -11,7 +11,8 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from colloquy.functions.text import HANGUL
@@ -81,3 +82,10 @@ def merge_stream(segments: DataFrame, options: MergeOptions = MergeOptions(), ti
 
     timeout = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return segments.groupBy("doc_id").applyInPandasWithState(step, OUTPUT, STATE, "append", timeout)
+
+
+def pending(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """doc_id and the pending segment of each document, as a query with this checkpoint location left them."""
+    state = spark.read.format("statestore").load(checkpoint)
+    found = state.select(F.col("key.doc_id").alias("doc_id"), F.col("value.groupState").alias("s"))
+    return found.where("s is not null").select("doc_id", "s.*")

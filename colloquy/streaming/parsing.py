@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from colloquy.functions.text import CHARS_PER_MINUTE, LEAST_SECONDS
+from colloquy.operators import parse
 from colloquy.schema import DEFAULT_CONFIDENCE, DEFAULT_SPEAKER, SEGMENT
 
 #: Pieces: ``seq`` orders those of a document, ``is_last`` ends it.
 PIECE = "doc_id string, seq long, text string, is_last boolean"
 STATE = "buffer string, clock double, n long, labelled boolean"
 
-# Fixed value: the format of labelled turns.
-TURN = re.compile(r"([^\n:]+?):\s*(.+?)(?=\n[^\n:]+:|\n\n|\Z)", re.S)
+#: The same format as for whole texts; Python writes the end of a text differently.
+TURN = re.compile(parse.TURN.replace(r"\z", r"\Z"), re.S)
 
 
 def paragraphs(text: str) -> list[str]:

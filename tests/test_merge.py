@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.operators import merge
-from colloquy.schema import SEGMENT, ConfigurationError, MergeError, MergeOptions
+from colloquy.schema import SEGMENT, ConfigurationError, MergeOptions
 
 
 def rows(spark, *given):
@@ -67,8 +67,15 @@ def test_continuity(spark):
 def test_options():
     with pytest.raises(ConfigurationError):
         MergeOptions(time_tolerance=-1)
-    with pytest.raises(MergeError):
-        merge.merge_pair({"speaker": "a"}, {"speaker": "b"})
+
+
+def test_merge_pair(spark):
+    struct = "struct<ord:long,seg_id:string,speaker:string,start_time:double,end_time:double,content:string,confidence:double>"
+    pair = lambda speaker: spark.createDataFrame([((0, "x", "a", 0.0, 2.0, "Hel", 1.0), (1, "y", speaker, 2.0, 4.0, "lo", 0.5))], f"a {struct}, b {struct}")
+    merged = lambda df: df.select(merge.merge_pair(F.col("a"), F.col("b")).alias("m")).select("m.*")
+    assert tuple(merged(pair("a")).first()) == (0, "x_merged", "a", 0.0, 4.0, "Hello", 0.75)
+    with pytest.raises(Exception, match="speakers differ: a and b"):
+        merged(pair("b")).collect()
 
 
 def test_one_exchange(spark):

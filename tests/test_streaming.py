@@ -3,7 +3,7 @@ import pytest
 from colloquy.operators.merge import merge_segments
 from colloquy.operators.parse import parse_labelled
 from colloquy.schema import SEGMENT
-from colloquy.streaming.incremental import merge_stream
+from colloquy.streaming.incremental import merge_stream, pending
 from colloquy.streaming.parsing import PIECE, parse_stream
 from colloquy.streaming.progress import NoActiveFileError, ProgressTracker
 
@@ -22,6 +22,15 @@ def test_stream_equals_batch(spark, tmp_path):
     assert found == {(r["doc_id"], r["ord"], r["seg_id"], r["content"], round(r["confidence"], 9), r["n_merged"]) for r in batch}
 
 
+def test_pending_segments(spark, tmp_path):
+    rows = [("d", 0, "a", "x", 0.0, 1.0, "Hel", 0.9), ("d", 1, "b", "x", 1.0, 4.0, "lo", 0.7), ("e", 0, "c", "y", 0.0, 1.0, "one", 1.0), ("e", 1, "f", "z", 1.0, 2.0, "two", 1.0)]
+    spark.createDataFrame(rows, SEGMENT).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = merge_stream(spark.readStream.schema(SEGMENT).parquet(f"{tmp_path}/in"))
+    query = stream.writeStream.format("memory").queryName("left").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {(r["doc_id"], r["content"], r["n_merged"]) for r in pending(spark, f"{tmp_path}/ck").collect()} == {("d", "Hello", 2), ("e", "two", 1)}
+
+
 def test_progress():
     seen = []
     tracker = ProgressTracker(2)
