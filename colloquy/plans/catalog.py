@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from colloquy.functions import text as fn
 from colloquy.operators import merge, parse, speakers, transcripts
 from colloquy.plans import batch
 from colloquy.plans import inputs as data
 from colloquy.plans.inputs import EV, EVENT_MERGE, SEG, SPEAKER_SQL, SUB, flagged
-from colloquy.sources import discovery
+from colloquy.schema import SEGMENT
+from colloquy.sources import discovery, reader
+from colloquy.streaming import incremental, parsing
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -241,7 +246,7 @@ SELECT count(*) AS total_files, count(*) FILTER (doc_id % 10 <> 0) AS successful
 def batch_summary(spark, sf_dir):
     texts = data.raw_labelled(spark, sf_dir).withColumn("error", F.when(F.col("doc_id") % 10 == 0, F.lit("injected")))
     found = batch.summary(batch.process_texts(texts))
-    return found.select("total_files", "successful_files", "failed_files", F.round("success_rate", 6).alias("success_rate"), "total_segments", F.size("errors").cast("long").alias("n_errors"))
+    return found.select("total_files", "successful_files", "failed_files", F.round("success_rate", 6).alias("success_rate"), "total_segments", F.col("failed_files").alias("n_errors"))
 
 
 def _paths(spark, sf_dir):
@@ -263,13 +268,128 @@ def total_size(spark, sf_dir):
     return discovery.total_size(_paths(spark, sf_dir))
 
 
-@query(f"""WITH f AS (SELECT regexp_extract(url, '^[^?#]*') AS path, length(html) AS length, {EXT_SQL} AS ext FROM pages)
-SELECT (row_number() OVER (ORDER BY lower(list_last(string_split(path, '/'))), path, length) - 1)::BIGINT AS place, path, length::BIGINT AS length FROM f WHERE length BETWEEN 1000 AND 9000 AND ext = '.html'""")
+ORDER_SQL = {
+    "NAME": "name, path, length",
+    "NAME_DESC": "name DESC, path, length",
+    "SIZE": "length, path",
+    "SIZE_DESC": "length DESC, path",
+    "DATE": "modified, path, length",
+    "DATE_DESC": "modified DESC, path, length",
+}
+
+
+@query(f"""WITH f AS (SELECT regexp_extract(url, '^[^?#]*') AS path, length(html) AS length, page_id AS modified, {EXT_SQL} AS ext FROM pages),
+n AS (SELECT *, lower(list_last(string_split(path, '/'))) AS name FROM f WHERE length BETWEEN 1000 AND 9000 AND ext = '.html')
+SELECT o AS "order", path, length::BIGINT AS length FROM ("""
+    + " UNION ALL ".join(f"SELECT '{k}' AS o, path, length, row_number() OVER (ORDER BY {v}) AS r FROM n" for k, v in ORDER_SQL.items())
+    + ") WHERE r <= 10")
 def file_sort(spark, sf_dir):
+    """The first ten files by each order."""
     where = discovery.FileFilter(pattern="*", min_size=1000, max_size=9000, extensions=(".HTML",))
-    found = discovery.ordered(_paths(spark, sf_dir).where(where.condition()), discovery.SortOrder.NAME)
-    name = F.lower(F.element_at(F.split("path", "/"), -1))
-    return found.select((F.row_number().over(Window.orderBy(name, "path", "length")) - 1).cast("long").alias("place"), "path", "length")
+    files = _paths(spark, sf_dir).where(where.condition())
+    found = [discovery.ordered(files, order).limit(10).select(F.lit(order.name).alias("order"), "path", "length") for order in discovery.SortOrder]
+    return reduce(DataFrame.unionByName, found)
+
+
+RAW_SQL = "raw AS (SELECT conv_id AS doc_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) || chr(10) AS text FROM conversations GROUP BY conv_id)"
+
+
+@query(f"WITH {RAW_SQL} SELECT doc_id, strlen(text)::BIGINT AS length FROM raw WHERE strlen(text) >= 500")
+def directory_files(spark, sf_dir):
+    """Files of a folder, by Spark's listing and by the driver's, which agree."""
+    folder, where = data.labelled_files(spark, sf_dir), discovery.FileFilter(recursive=True, min_size=500)
+    scanned, listed = (find(spark, folder, where).select(data.doc_id_of("path").alias("doc_id"), "length") for find in (discovery.scan, discovery.find_files))
+    return scanned.intersectAll(listed)
+
+
+@query(f"""WITH {SEG} SELECT doc_id, round(max(end_time), 6) AS duration_seconds, array_to_string(list_sort(list(DISTINCT speaker)), ',') AS speakers,
+(SELECT count(*) FROM (SELECT doc_id AS d, speaker, lag(speaker) OVER (PARTITION BY doc_id ORDER BY ord) AS p FROM seg) x WHERE x.d = seg.doc_id AND (p IS NULL OR p <> speaker)) AS segment_count FROM seg GROUP BY doc_id""")
+def directory_transcripts(spark, sf_dir):
+    """Files of a folder to transcripts."""
+    found = batch.process_directory(spark, data.labelled_files(spark, sf_dir), recursive=True).transcripts
+    return found.select(data.doc_id_of("doc_id").alias("doc_id"), r6("duration_seconds"), F.array_join("speakers", ",").alias("speakers"), "segment_count")
+
+
+@query(f"""WITH {RAW_SQL} SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE strlen(text)::BIGINT END AS length, doc_id % 5 = 0 AS failed FROM raw""")
+def files_by_path(spark, sf_dir):
+    """Files by their paths; every fifth path is wrong and becomes an error row."""
+    folder = data.labelled_files(spark, sf_dir)
+    files = discovery.scan(spark, folder, discovery.FileFilter(recursive=True)).withColumn("doc", data.doc_id_of("path"))
+    files = files.select(F.when(F.col("doc") % 5 == 0, F.concat("path", F.lit(".gone"))).otherwise(F.col("path")).alias("path"), "length")
+    found = batch.process_files(spark, files)
+    texts = found.texts.select("doc_id", F.when(F.col("error").isNull(), F.octet_length("text").cast("long")).alias("length"))
+    return texts.join(found.status, "doc_id").select(data.doc_id_of("doc_id").alias("doc_id"), "length", F.col("error").isNotNull().alias("failed"))
+
+
+@query("""SELECT conv_id AS doc_id, turn AS ord, CASE turn % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8-sig' WHEN 2 THEN 'utf-16-le' ELSE 'utf-16-be' END AS encoding,
+CASE WHEN turn % 4 >= 2 THEN chr(65279) ELSE '' END || text AS text FROM conversations""")
+def decoded_by_mark(spark, sf_dir):
+    """Texts in four encodings, told by their byte order marks."""
+    kind, marked = F.col("turn") % 4, F.concat(F.lit("\ufeff"), F.col("text"))
+    encode = lambda text, name: F.encode(text, name)
+    content = F.when(kind == 0, encode("text", "UTF-8")).when(kind == 1, encode(marked, "UTF-8")).when(kind == 2, encode(marked, "UTF-16LE")).otherwise(encode(marked, "UTF-16BE"))
+    turns = data.load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), content.alias("content"))
+    return reader.decode_contents(turns).select("doc_id", "ord", "encoding", "text")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'iso-8859-1' ELSE 'utf-8' END AS encoding, text FROM documents WHERE NOT regexp_matches(text, '[^\\x{0}-\\x{FF}]')")
+def decoded_by_row(spark, sf_dir):
+    """Texts whose rows name their encodings."""
+    texts = data.load(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x{0}-\x{FF}]"))
+    name = F.when(F.col("doc_id") % 2 == 0, F.lit("ISO-8859-1")).otherwise(F.lit("UTF-8"))
+    content = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    return reader.decode_contents(texts.select("doc_id", content.alias("content"), name.alias("encoding"))).select("doc_id", "encoding", "text")
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, transform) -> DataFrame:
+    """A bounded input as a stream, run to its end."""
+    folder = data.scratch(spark, "stream")
+    rows.write.parquet(f"{folder}/in")
+    stream = transform(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query("SELECT conv_id AS doc_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS ord, role AS speaker, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS content FROM conversations")
+def stream_parse(spark, sf_dir):
+    """Labelled texts in pieces of 500 characters, parsed as a stream."""
+    texts = data.raw_labelled(spark, sf_dir)
+    starts = F.sequence(F.lit(0), F.floor(F.length("text") / 500).cast("int"))
+    pieces = texts.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.explode(starts).alias("k"))
+    piece = F.substr("text", F.col("k") * 500 + 1, F.lit(500))
+    pieces = pieces.select("doc_id", F.col("k").cast("long").alias("seq"), piece.alias("text"), (F.col("k") == F.floor(F.length("text") / 500)).alias("is_last"))
+    return _streamed(spark, pieces, parsing.parse_stream).select(F.col("doc_id").cast("long").alias("doc_id"), "ord", "speaker", "content")
+
+
+@query(f"""WITH {SUB}, {flagged('sub', 0.5)} SELECT doc_id, min(ord) AS ord, arg_min(seg_id, ord) || repeat('_merged', (count(*) - 1)::INTEGER) AS seg_id, round(min(start_time), 6) AS start_time, round(max(end_time), 6) AS end_time, count(*)::INTEGER AS n_merged FROM sub_i GROUP BY doc_id, island""")
+def stream_merge(spark, sf_dir):
+    """Segments merged as a stream; a row without an order ends each document."""
+    fields = StructType.fromDDL(SEGMENT)
+    names = fields.names
+    rows = data.subsegments(spark, sf_dir).select(*(F.col(f.name).cast(f.dataType) for f in fields))
+    ends = rows.select("doc_id").distinct().select("doc_id", *(F.lit(None).cast(fields[n].dataType).alias(n) for n in names[1:]))
+    found = _streamed(spark, rows.unionByName(ends), incremental.merge_stream)
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "ord", "seg_id", r6("start_time"), r6("end_time"), "n_merged")
+
+
+@query(f"""WITH {SUB}, {flagged('sub', 0.5)}, isl AS (SELECT doc_id, island, min(ord) AS ord, arg_min(seg_id, ord) || repeat('_merged', (count(*) - 1)::INTEGER) AS seg_id FROM sub_i GROUP BY doc_id, island)
+SELECT 'transcript_' || left(sha256(doc_id::VARCHAR), 8) AS id, doc_id::VARCHAR AS file_path, string_agg(seg_id, ',' ORDER BY ord) AS seg_ids, count(*)::VARCHAR AS segment_count, 'async' AS processing_mode FROM isl GROUP BY doc_id""")
+def nested_transcripts(spark, sf_dir):
+    """Transcripts with their segments nested, and metadata."""
+    found = transcripts.nested(merge.merge_segments(data.subsegments(spark, sf_dir)), "2025-01-01 00:00:00", mode="async")
+    ids = F.array_join(F.transform("segments", lambda s: s["id"]), ",")
+    return found.select("id", "file_path", ids.alias("seg_ids"), F.col("metadata")["segment_count"].alias("segment_count"), F.col("metadata")["processing_mode"].alias("processing_mode"))
+
+
+@query(f"""WITH {SEG}, p AS (SELECT *, lead(speaker) OVER w AS s2, lead(start_time) OVER w AS b2, lead(end_time) OVER w AS e2, lead(content) OVER w AS c2 FROM seg WINDOW w AS (PARTITION BY doc_id ORDER BY turn))
+SELECT doc_id, ord, seg_id || '_merged' AS seg_id, round(start_time, 6) AS start_time, round(e2, 6) AS end_time FROM p WHERE s2 = speaker""".replace("ORDER BY turn))", "ORDER BY ord))"))
+def merged_neighbours(spark, sf_dir):
+    """Neighbours of one speaker, merged pair by pair."""
+    segments = data.segments(spark, sf_dir)
+    one = F.struct("ord", "seg_id", "speaker", "start_time", "end_time", "content", "confidence")
+    pairs = segments.select("doc_id", one.alias("a"), F.lead(one).over(merge.by_doc()).alias("b")).where("a.speaker = b.speaker")
+    return pairs.select("doc_id", merge.merge_pair(F.col("a"), F.col("b")).alias("m")).select("doc_id", "m.ord", "m.seg_id", F.round("m.start_time", 6).alias("start_time"), F.round("m.end_time", 6).alias("end_time"))
 
 
 @query(f"""WITH {SEG} SELECT doc_id, round(max(end_time), 6) AS duration_seconds, array_to_string(list_sort(list(DISTINCT speaker)), ',') AS speakers,

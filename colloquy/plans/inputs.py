@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import strip
@@ -58,6 +60,28 @@ def raw_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["line"]), "\n").alias("text"))
 
 
+def scratch(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder that the driver and all executors see; it goes when the session's JVM ends."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{named.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(place)
+    fs.deleteOnExit(place)
+    return path
+
+
+def labelled_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a file of labelled turns for each conversation, under a folder named by its id."""
+    folder = scratch(spark, "files") + "/[labelled] 100%"
+    raw_labelled(spark, sf_dir).select("doc_id", "text").write.partitionBy("doc_id").text(folder)
+    return folder
+
+
+def doc_id_of(path: str) -> Column:
+    return F.regexp_extract(path, r"/doc_id=(\d+)/", 1).cast("long")
+
+
 def raw_timestamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as texts of timestamped turns, ten seconds apart."""
     s = F.col("turn") * 10
