@@ -382,14 +382,15 @@ def nested_transcripts(spark, sf_dir):
     return found.select("id", "file_path", ids.alias("seg_ids"), F.col("metadata")["segment_count"].alias("segment_count"), F.col("metadata")["processing_mode"].alias("processing_mode"))
 
 
-@query(f"""WITH {SEG}, p AS (SELECT *, lead(speaker) OVER w AS s2, lead(start_time) OVER w AS b2, lead(end_time) OVER w AS e2, lead(content) OVER w AS c2 FROM seg WINDOW w AS (PARTITION BY doc_id ORDER BY turn))
-SELECT doc_id, ord, seg_id || '_merged' AS seg_id, round(start_time, 6) AS start_time, round(e2, 6) AS end_time FROM p WHERE s2 = speaker""".replace("ORDER BY turn))", "ORDER BY ord))"))
+@query(f"""WITH {SUB}, p AS (SELECT *, lead(speaker) OVER w AS s2, lead(end_time) OVER w AS e2, lead(confidence) OVER w AS c2, lead(start_time) OVER w AS b2 FROM sub WINDOW w AS (PARTITION BY doc_id ORDER BY ord))
+SELECT doc_id, ord, seg_id || '_merged' AS seg_id, round(start_time, 6) AS start_time, round(e2, 6) AS end_time,
+  round((confidence * (end_time - start_time) + c2 * (e2 - b2)) / (end_time - start_time + e2 - b2), 6) AS confidence FROM p WHERE s2 = speaker""")
 def merged_neighbours(spark, sf_dir):
     """Neighbours of one speaker, merged pair by pair."""
-    segments = data.segments(spark, sf_dir)
+    segments = data.subsegments(spark, sf_dir)
     one = F.struct("ord", "seg_id", "speaker", "start_time", "end_time", "content", "confidence")
     pairs = segments.select("doc_id", one.alias("a"), F.lead(one).over(merge.by_doc()).alias("b")).where("a.speaker = b.speaker")
-    return pairs.select("doc_id", merge.merge_pair(F.col("a"), F.col("b")).alias("m")).select("doc_id", "m.ord", "m.seg_id", F.round("m.start_time", 6).alias("start_time"), F.round("m.end_time", 6).alias("end_time"))
+    return pairs.select("doc_id", merge.merge_pair(F.col("a"), F.col("b")).alias("m")).select("doc_id", "m.ord", "m.seg_id", *(F.round(f"m.{c}", 6).alias(c) for c in ("start_time", "end_time", "confidence")))
 
 
 @query(f"""WITH {SEG} SELECT doc_id, round(max(end_time), 6) AS duration_seconds, array_to_string(list_sort(list(DISTINCT speaker)), ',') AS speakers,
