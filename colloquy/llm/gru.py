@@ -14,6 +14,9 @@ import xxhash
 
 GRAMS = (3, 4, 5)
 
+#: Words whose n-grams are found at a time.
+WORDS = 20_000
+
 #: Windows of a text that a step draws.
 DRAWN = 6
 
@@ -26,33 +29,42 @@ def word_rows(words: list[bytes], size: int) -> np.ndarray:
 
 
 def gram_table(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the n-gram table for all words one after another, and the word of each row."""
-    marked = b"".join(b"<" + w + b">" for w in words)
-    codes = np.frombuffer(marked, np.uint8).astype(np.uint64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    ends = np.cumsum(lengths)
-    word = np.repeat(np.arange(len(words)), lengths)
-    rows, owners = [], []
-    for n in GRAMS:
-        if len(codes) < n:
-            continue
-        total = np.full(len(codes) - n + 1, n, np.uint64)
-        for i in range(n):
-            total = total * np.uint64(0x100000001B3) + codes[i : len(codes) - n + 1 + i]
-        total ^= total >> np.uint64(29)
-        total *= np.uint64(0xBF58476D1CE4E5B9)
-        inside = np.flatnonzero(np.arange(len(total)) + n <= ends[word[: len(total)]])
-        rows.append(((total[inside] >> np.uint64(24)) % np.uint64(size)).astype(np.int64))
-        owners.append(word[inside])
-    return np.concatenate(rows), np.concatenate(owners)
-
-
-def gram_means(table: np.ndarray, rows: np.ndarray, owners: np.ndarray, n_words: int) -> np.ndarray:
-    counts = np.maximum(np.bincount(owners, minlength=n_words), 1).astype(np.float32)
+    """Rows of the n-gram table, word by word, and where each word's begin and the last one's end; a word has one at least."""
+    rows, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+    for at in range(0, len(words), WORDS):
+        part = words[at : at + WORDS]
+        marked = b"".join(b"<" + w + b">" for w in part)
+        codes = np.frombuffer(marked, np.uint8).astype(np.uint64)
+        lengths = np.fromiter(map(len, part), np.int64, len(part)) + 2
+        ends = np.cumsum(lengths)
+        word = np.repeat(np.arange(len(part)), lengths)
+        found, owners = [], []
+        for n in GRAMS:
+            if len(codes) < n:
+                continue
+            total = np.full(len(codes) - n + 1, n, np.uint64)
+            for i in range(n):
+                total = total * np.uint64(0x100000001B3) + codes[i : len(codes) - n + 1 + i]
+            total ^= total >> np.uint64(29)
+            total *= np.uint64(0xBF58476D1CE4E5B9)
+            inside = np.flatnonzero(np.arange(len(total)) + n <= ends[word[: len(total)]])
+            found.append(((total[inside] >> np.uint64(24)) % np.uint64(size)).astype(np.int32))
+            owners.append(word[inside])
+        owners = np.concatenate(owners)
+        rows.append(np.concatenate(found)[np.argsort(owners, kind="stable")])
+        counts.append(np.bincount(owners, minlength=len(part)))
+    return np.concatenate(rows), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+
+
+def gram_means(table: np.ndarray, rows: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """The mean of each word's rows of the table."""
+    n_words = len(turns) - 1
     out = np.empty((n_words, table.shape[1]), np.float32)
-    for d in range(table.shape[1]):
-        out[:, d] = np.bincount(owners, weights=table[rows, d], minlength=n_words)
-    return out / counts[:, None]
+    for at in range(0, n_words, WORDS):
+        own = turns[at : at + WORDS + 1]
+        sums = np.add.reduceat(table[rows[own[0] : own[-1]]], own[:-1] - own[0], axis=0)
+        out[at : at + WORDS] = sums / np.diff(own)[:, None].astype(np.float32)
+    return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -70,8 +82,7 @@ class Network:
         self.seen = {k: np.full(v.shape, 1e-6, np.float32) for k, v in self.p.items()}
 
     def inputs(self, words: list[bytes]) -> np.ndarray:
-        rows, owners = gram_table(words, len(self.p["grams"]))
-        return self.p["words"][word_rows(words, len(self.p["words"]))] + gram_means(self.p["grams"], rows, owners, len(words))
+        return self.p["words"][word_rows(words, len(self.p["words"]))] + gram_means(self.p["grams"], *gram_table(words, len(self.p["grams"])))
 
     def projected(self, words: list[bytes]) -> np.ndarray:
         """What the words add to the gates of both layers, side by side."""
@@ -160,16 +171,11 @@ class Network:
         self.p[key][at] -= rate * gradient / np.sqrt(self.seen[key][at])
 
 
-def train(network: Network, texts: list[list[bytes]], labels: np.ndarray, *, length: int, epochs: int, rate: float = 0.05, batch: int = 64, decay: float = 1e-3, smooth: float = 0.02, seed: int = 3) -> None:
-    """Fits the network to whole texts (lists of words, none empty), each with a label."""
+def train(network: Network, texts: list[np.ndarray], words: list[bytes], labels: np.ndarray, *, length: int, epochs: int, rate: float = 0.05, batch: int = 64, decay: float = 1e-3, smooth: float = 0.02, seed: int = 3) -> None:
+    """Fits the network to whole texts (numbers of their ``words``, none empty), each with a label."""
     rng = np.random.default_rng(seed)
-    vocabulary: dict[bytes, int] = {}
-    texts = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int64) for words in texts]
-    words = list(vocabulary)
     own_rows = word_rows(words, len(network.p["words"]))
-    grams, owners = gram_table(words, len(network.p["grams"]))
-    turns = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(words)))])
-    by_word = grams[np.argsort(owners, kind="stable")]
+    grams, turns = gram_table(words, len(network.p["grams"]))
     counts = np.diff(turns)
     positive, negative = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
     half = batch // 2
@@ -187,7 +193,7 @@ def train(network: Network, texts: list[list[bytes]], labels: np.ndarray, *, len
     for step in range(epochs * per_epoch):
         picked = np.concatenate([rng.choice(positive, half), rng.choice(negative, half)])
         if step % per_epoch == 0:
-            x_all = network.p["words"][own_rows] + gram_means(network.p["grams"], grams, owners, len(words))
+            x_all = network.p["words"][own_rows] + gram_means(network.p["grams"], grams, turns)
         used = []
         for i in picked:
             drawn = rng.integers(0, max(1, len(texts[i]) - length + 1), DRAWN)
@@ -201,9 +207,9 @@ def train(network: Network, texts: list[list[bytes]], labels: np.ndarray, *, len
         ids, mask = laid(best)
         flat, back = np.unique(ids[mask], return_inverse=True)
         n_grams = counts[flat]
-        touched = np.concatenate([by_word[turns[w] : turns[w + 1]] for w in flat])
+        touched = np.concatenate([grams[turns[w] : turns[w + 1]] for w in flat])
         owner = np.repeat(np.arange(len(flat)), n_grams)
-        vectors = network.p["words"][own_rows[flat]] + gram_means(network.p["grams"], touched, owner, len(flat))
+        vectors = network.p["words"][own_rows[flat]] + gram_means(network.p["grams"], touched, np.concatenate([[0], np.cumsum(n_grams)]))
         x_all[flat] = vectors
         x = np.zeros((*ids.shape, vectors.shape[1]), np.float32)
         drop = rng.random(len(flat)) < 0.05

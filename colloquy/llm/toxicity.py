@@ -188,8 +188,9 @@ def fit(
     from, all texts score the share of toxic labels.
     """
     picked, counts = sampled(docs, labels, id_col, text_col, sample, sample_bytes)
-    found = sorted((r["id"], r["toxic"], read_words(r["text"].encode())) for r in picked.collect())
-    found = [x for x in found if x[2]]
+    rows = picked.toArrow().sort_by("id").combine_chunks()
+    texts = utf8(rows.column("text").combine_chunks())
+    found = [(i, toxic, k) for k, (i, toxic) in enumerate(zip(rows.column("id").to_pylist(), rows.column("toxic").to_pylist(), strict=True)) if texts[k].split(None, 1)]
     y = np.array([x[1] for x in found])
     network = Network(seed=seed)
     n = {k: max(1, int((y == k).sum())) for k in (0, 1)}
@@ -201,7 +202,9 @@ def fit(
     learn = place % 3 != 2
     if not (y[learn] == 1).any() or not (y[~learn] == 1).any():
         learn = np.ones(len(y), bool)
-    train(network, [found[i][2] for i in np.flatnonzero(learn)], y[learn].astype(np.float32), length=LENGTH, epochs=epochs)
+    vocabulary: dict[bytes, int] = {}
+    learned = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in read_words(texts[found[i][2]])], np.int32) for i in np.flatnonzero(learn)]
+    train(network, learned, list(vocabulary), y[learn].astype(np.float32), length=LENGTH, epochs=epochs)
     kept = np.arange(len(y)) if learn.all() else np.flatnonzero(~learn)
     calibrates = {found[i][0] for i in kept}
     weight = {k: counts.get(k, 1) / n[k] for k in (0, 1)}
