@@ -1,4 +1,4 @@
-"""Progress of a batch on the driver: files, bytes, callbacks."""
+"""Progress of a batch on the driver: files, bytes, callbacks, and what Spark says of a job group's tasks."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import contextlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
+
 
 class NoActiveFileError(RuntimeError):
     """Progress was reported while no file was being processed."""
@@ -25,6 +27,16 @@ class FileProgress:
         return min(1.0, self.bytes_done / self.total_bytes)
 
 
+def task_progress(spark: SparkSession, group: str) -> float:
+    """The share of the tasks of a job group's known stages that are done; skipped stages don't count."""
+    status = spark.sparkContext.statusTracker()
+    jobs = [status.getJobInfo(j) for j in status.getJobIdsForGroup(group)]
+    stages = [status.getStageInfo(s) for j in jobs if j is not None for s in j.stageIds]
+    begun = [s for s in stages if s is not None and (s.numCompletedTasks or s.numActiveTasks)]
+    total = sum(s.numTasks for s in begun)
+    return sum(s.numCompletedTasks for s in begun) / total if total else 0.0
+
+
 class ProgressTracker:
     """Counts files and bytes; overall progress is by files, a file under way counting in part."""
 
@@ -60,6 +72,10 @@ class ProgressTracker:
         file.bytes_done = max(file.bytes_done, int(ratio * file.total_bytes))
         self._tell()
 
+    def follow(self, spark: SparkSession, group: str) -> None:
+        """Sets the file's progress to that of the job group that works on it."""
+        self.update_progress(task_progress(spark, group))
+
     def finish_file(self) -> None:
         file = self._active()
         file.bytes_done, file.complete = file.total_bytes, True

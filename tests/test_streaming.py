@@ -1,11 +1,12 @@
 import pytest
+from pyspark.sql import functions as F
 
 from colloquy.operators.merge import merge_segments
 from colloquy.operators.parse import parse_labelled
 from colloquy.schema import SEGMENT
 from colloquy.streaming.incremental import merge_stream, pending
 from colloquy.streaming.parsing import PIECE, parse_stream
-from colloquy.streaming.progress import NoActiveFileError, ProgressTracker
+from colloquy.streaming.progress import NoActiveFileError, ProgressTracker, task_progress
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -63,3 +64,16 @@ def test_parsing_pieces_equals_parsing_whole_texts(spark, tmp_path):
     whole = parse_labelled(spark.createDataFrame(list(texts.items()), "doc_id string, text string"))
     as_rows = lambda df: sorted(map(str, df.select("doc_id", "ord", "seg_id", "speaker", "start_time", "end_time", "content").collect()))
     assert as_rows(spark.table("parsed")) == as_rows(whole)
+
+
+def test_progress_follows_a_job_group(spark):
+    tracker = ProgressTracker(1)
+    tracker.start_file("a", 1000)
+    tracker.follow(spark, "no such group")
+    assert tracker.progress == 0
+    spark.sparkContext.setJobGroup("counting", "a test")
+    spark.range(0, 100, 1, 4).groupBy((F.col("id") % 3).alias("k")).count().collect()
+    spark.sparkContext._jsc.clearJobGroup()
+    assert task_progress(spark, "counting") == 1
+    tracker.follow(spark, "counting")
+    assert tracker.progress == 1
