@@ -116,6 +116,36 @@ class Network:
         states = np.concatenate([self.layer(a[:, :, :h3], mask, "f"), self.layer(a[:, :, h3:], mask, "b")], axis=2)
         return self.pooled(states, mask)[0]
 
+    def every_logit(self, a: np.ndarray, length: int) -> np.ndarray:
+        """Of the windows from every word of a row of words; a: gate inputs (6h, words), words side by side in memory."""
+        n, h = a.shape[1] - length + 1, self.h
+        e, q = np.zeros((length, n), np.float32), np.zeros((length, n), np.float32)
+        for i, way in enumerate("fb"):
+            u = np.ascontiguousarray(self.p[f"U{way}"].T)
+            v, w = (self.p[k][i * h : (i + 1) * h] for k in "vw")
+            own = a[i * 3 * h : (i + 1) * 3 * h]
+            state = np.zeros((h, n), np.float32)
+            for t in range(length) if way == "f" else range(length - 1, -1, -1):
+                at = own[:, t : t + n]
+                g = u @ state
+                zr = g[: 2 * h]
+                zr += at[: 2 * h]
+                zr *= np.float32(0.5)
+                np.tanh(zr, out=zr)
+                zr *= np.float32(0.5)
+                zr += np.float32(0.5)
+                new = g[2 * h :]
+                new *= zr[h:]
+                new += at[2 * h :]
+                np.tanh(new, out=new)
+                state -= new
+                state *= zr[:h]
+                state += new
+                e[t] += v @ state
+                q[t] += w @ state
+        e = np.exp(e - e.max(axis=0))
+        return (e * q).sum(axis=0) / e.sum(axis=0) + self.p["b"][0]
+
     def pooled(self, states: np.ndarray, mask: np.ndarray | None):
         e = states @ self.p["v"]
         if mask is not None:

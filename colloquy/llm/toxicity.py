@@ -7,8 +7,7 @@ labelled texts that the network was not trained on, turns them into a probabilit
 
 Fitting takes a bounded sample of labelled rows: of either label at most ``SAMPLE``, and no more than ``SAMPLE_BYTES``
 of text, those whose ids have the least hashes.  Sampled texts are whole, and training draws from all of their windows.
-Scoring covers every window of every text, in the task that reads it; windows of the same words are computed
-once in a batch.
+Scoring covers every window of every text, in the task that reads it.
 
 Nulls: a null or empty text is scored as a window without words; null ids and null labels are not learned.
 A very long text is laid out by itself.  Equal texts have equal scores, whatever their ids.  Of rows with one
@@ -23,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from colloquy.llm.common import Sent, arrow_map, cut_lineage, gram_codes, slices, table, utf8
+from colloquy.llm.common import Sent, arrow_map, cut_lineage, slices, table, utf8
 from colloquy.llm.gru import Network, sigmoid, train
 
 LENGTH = 24
@@ -86,18 +85,19 @@ class Scorer:
         begin = base[of] + np.concatenate(starts)
         size = np.minimum(lengths, LENGTH)[of]
         full = size == LENGTH
-        codes = gram_codes(flat.astype(np.uint64), LENGTH)  # at every word, also across texts
-        whole = np.flatnonzero(full)
-        first, again = np.unique(codes[begin[whole]], return_index=True, return_inverse=True)[1:]
-        for where, masked in ((whole[first], False), (np.flatnonzero(~full), True)):
-            for part in slices(len(where), PASS):
-                chosen = where[part]
-                steps = np.arange(LENGTH)[:, None]
-                mask = steps < size[chosen] if masked else None
-                places = np.minimum(begin[chosen] + steps, len(flat) - 1)
-                ids = flat[places] if mask is None else np.where(mask, flat[places], 0)
-                logits[chosen] = self.network.logits(self.gates[ids], mask)
-        logits[whole] = logits[whole[first]][again]
+        if full.any():
+            side = np.ascontiguousarray(self.gates[flat].T)
+            every = np.empty(len(flat) - LENGTH + 1, np.float32)
+            for part in slices(len(every), PASS):  # windows across two texts are not looked at
+                every[part] = self.network.every_logit(side[:, part.start : part.stop + LENGTH - 1], LENGTH)
+            logits[full] = every[begin[full]]
+        where = np.flatnonzero(~full)
+        for part in slices(len(where), PASS):
+            chosen = where[part]
+            steps = np.arange(LENGTH)[:, None]
+            mask = steps < size[chosen]
+            ids = np.where(mask, flat[np.minimum(begin[chosen] + steps, len(flat) - 1)], 0)
+            logits[chosen] = self.network.logits(self.gates[ids], mask)
         order = np.lexsort((-logits, of))
         ordered = logits[order]
         counts = np.bincount(of, minlength=len(rows))
