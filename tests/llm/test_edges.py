@@ -152,6 +152,8 @@ def test_toxicity_learns_and_handles_edges(spark):
     held = [i for i in range(10, 400) if zlib.crc32(str(i).encode()) % 4 == 2]
     right = sum(found[i]["predicted"] == labels[i][2] for i in held)
     assert right / len(held) > 0.95
+    echo = spark.createDataFrame([(i, f"{w} " * 40, "en", "s", 1) for i, w in enumerate(rows[21][1].split()[:5])], DOCS)
+    assert all(r["predicted"] == 0 for r in toxicity.score_toxicity(echo, model).collect())
     assert all(0 <= r["score"] <= 1 for r in found.values())
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
