@@ -86,10 +86,10 @@ class Scorer:
         size = np.minimum(lengths, LENGTH)[of]
         full = size == LENGTH
         if full.any():
-            side = np.ascontiguousarray(self.gates[flat].T)
             every = np.empty(len(flat) - LENGTH + 1, np.float32)
             for part in slices(len(every), PASS):  # windows across two texts are not looked at
-                every[part] = self.network.every_logit(side[:, part.start : part.stop + LENGTH - 1], LENGTH)
+                inputs = np.ascontiguousarray(self.gates[flat[part.start : part.stop + LENGTH - 1]].T)
+                every[part] = self.network.every_logit(inputs, LENGTH)
             logits[full] = every[begin[full]]
         where = np.flatnonzero(~full)
         for part in slices(len(where), PASS):
