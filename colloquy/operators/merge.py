@@ -115,12 +115,20 @@ def merge_stats(segments: DataFrame, options: MergeOptions = MergeOptions()) ->
     return flagged.select("received", "merged", (F.col("received") - F.col("merged")).alias("output"), ratio.alias("merge_ratio"))
 
 
+def two_decimals(x: Column) -> Column:
+    """As C's ``%.2f`` up to 2^63: the exact binary value decides and a tie goes to the even digit; Java's rounds the shortest decimals, ties up."""
+    whole = F.floor(x)
+    cents = F.call_function("format_number", x - whole, F.lit("0.00")).cast("decimal(3,2)")
+    exact = (whole.cast("decimal(20,0)") + cents).cast("string")
+    return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x < 2.0**63, exact).otherwise(F.format_string("%.2f", x))
+
+
 def continuity_errors(segments: DataFrame) -> DataFrame:
     """Overlaps and gaps between neighbours beyond the limits, with a message for each."""
     place = F.row_number().over(by_doc()) - 1
     gap = F.col("start_time") - F.lag("end_time").over(by_doc())
     found = segments.select("doc_id", place.cast("long").alias("second"), gap.alias("gap")).withColumn("first", F.col("second") - 1)
-    overlap = F.format_string("Segment %d and %d have significant overlap: %.2fs", "first", "second", -F.col("gap"))
-    silence = F.format_string("Large gap between segment %d and %d: %.2fs", "first", "second", "gap")
+    overlap = F.format_string("Segment %d and %d have significant overlap: %ss", "first", "second", two_decimals(-F.col("gap")))
+    silence = F.format_string("Large gap between segment %d and %d: %ss", "first", "second", two_decimals(F.col("gap")))
     message = F.when(F.col("gap") < -MOST_OVERLAP, overlap).when(F.col("gap") > MOST_GAP, silence)
     return found.select("doc_id", "first", "second", message.alias("message")).where("message is not null")

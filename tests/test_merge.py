@@ -64,6 +64,14 @@ def test_continuity(spark):
     assert gap == "Large gap between segment 0 and 1: 19.00s"
 
 
+def test_continuity_seconds_round_as_sql_does(spark):
+    duckdb = pytest.importorskip("duckdb")
+    gaps = [10.125, 10.375, 10.625, 20.005, 20.015, 1e7 + 0.125, 1e15 + 0.125, 1e18, 10.999, -1.125, -2.675, -3.625, -1000.005, float("inf"), float("nan")]
+    given = spark.createDataFrame([(k, i, "a", (0.0, g)[i], 0.0) for k, g in enumerate(gaps) for i in (0, 1)], "doc_id long, ord long, speaker string, start_time double, end_time double")
+    found = {r["doc_id"]: r["message"].split(": ")[1] for r in merge.continuity_errors(given).collect()}
+    assert found == {k: duckdb.execute("SELECT printf('%.2fs', ?::DOUBLE)", [abs(g)]).fetchone()[0] for k, g in enumerate(gaps)}
+
+
 def test_options():
     with pytest.raises(ConfigurationError):
         MergeOptions(time_tolerance=-1)
