@@ -14,8 +14,8 @@ import xxhash
 
 GRAMS = (3, 4, 5)
 
-#: Words whose n-grams are found at a time.
-WORDS = 20_000
+#: Words whose n-grams are found at a time: few enough for a processor's own cache.
+WORDS = 3_000
 
 #: Windows of a text that a step draws, and how often one more is a word of a text with label 0 over and over: repeating
 #: an ordinary word doesn't change the label, but states drift far from those of prose on it.
@@ -27,7 +27,8 @@ MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
 
 def word_rows(words: list[bytes], size: int) -> np.ndarray:
     """Rows of the word table, by the words' letters and digits where they have any; row 0 is for padding."""
-    return np.fromiter((1 + xxhash.xxh3_64_intdigest(w.translate(None, MARKS) or w) % (size - 1) for w in words), np.int64, len(words))
+    plain = [w.translate(None, MARKS) or w for w in words]
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, plain), np.uint64, len(plain)) % np.uint64(size - 1)).astype(np.int64) + 1
 
 
 def gram_table(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,7 +36,7 @@ def gram_table(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     rows, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
     for at in range(0, len(words), WORDS):
         part = words[at : at + WORDS]
-        marked = b"".join(b"<" + w + b">" for w in part)
+        marked = b"<" + b"><".join(part) + b">"
         codes = np.frombuffer(marked, np.uint8).astype(np.uint64)
         lengths = np.fromiter(map(len, part), np.int64, len(part)) + 2
         ends = np.cumsum(lengths)
@@ -119,32 +120,37 @@ class Network:
         return self.pooled(states, mask)[0]
 
     def every_logit(self, a: np.ndarray, length: int) -> np.ndarray:
-        """Of the windows from every word of a row of words; a: gate inputs (6h, words), words side by side in memory."""
+        """Of the windows from every word of a row of words; a: gate inputs (6h, words), words side by side in memory.
+
+        A sigmoid is one over one plus an exponential, whose sign the weights take, so that gates divide; the attention's rows
+        are in the matrix that gives the next step's gates.  Few passes over short arrays: memory sets the pace.
+        """
         n, h = a.shape[1] - length + 1, self.h
         e, q = np.zeros((length, n), np.float32), np.zeros((length, n), np.float32)
-        for i, way in enumerate("fb"):
-            u = np.ascontiguousarray(self.p[f"U{way}"].T)
-            v, w = (self.p[k][i * h : (i + 1) * h] for k in "vw")
-            own = a[i * 3 * h : (i + 1) * 3 * h]
-            state = np.zeros((h, n), np.float32)
-            for t in range(length) if way == "f" else range(length - 1, -1, -1):
-                at = own[:, t : t + n]
-                g = u @ state
-                zr = g[: 2 * h]
-                zr += at[: 2 * h]
-                zr *= np.float32(0.5)
-                np.tanh(zr, out=zr)
-                zr *= np.float32(0.5)
-                zr += np.float32(0.5)
-                new = g[2 * h :]
-                new *= zr[h:]
-                new += at[2 * h :]
-                np.tanh(new, out=new)
-                state -= new
-                state *= zr[:h]
-                state += new
-                e[t] += v @ state
-                q[t] += w @ state
+        g, state = np.empty((3 * h + 2, n), np.float32), np.empty((h, n), np.float32)
+        z, zr, new = g[:h], g[: 2 * h], g[2 * h : 3 * h]
+        sign = np.repeat(np.float32([-1, 1]), [2 * h, h])
+        with np.errstate(over="ignore"):  # a gate that is shut divides by infinity
+            for i, way in enumerate("fb"):
+                u = np.concatenate([self.p[f"U{way}"].T * sign[:, None], self.p["v"][None, i * h : (i + 1) * h], self.p["w"][None, i * h : (i + 1) * h]])
+                own = a[i * 3 * h : (i + 1) * 3 * h] * sign[:, None]
+                steps = range(length) if way == "f" else range(length - 1, -1, -1)
+                state[:] = 0
+                g[:] = 0
+                for t in steps:
+                    at = own[:, t : t + n]
+                    zr += at[: 2 * h]
+                    np.exp(zr, out=zr)
+                    zr += 1
+                    new /= g[h : 2 * h]
+                    new += at[2 * h :]
+                    np.tanh(new, out=new)
+                    state -= new
+                    state /= z
+                    state += new
+                    np.matmul(u, state, out=g)
+                    e[t] += g[3 * h]
+                    q[t] += g[3 * h + 1]
         e = np.exp(e - e.max(axis=0))
         return (e * q).sum(axis=0) / e.sum(axis=0) + self.p["b"][0]
 

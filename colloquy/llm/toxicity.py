@@ -16,6 +16,11 @@ id the least text is learned; all are scored.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import pickle
+from collections import defaultdict
+from collections.abc import Iterable
+from itertools import chain, count, islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -48,43 +53,59 @@ def read_words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def numbers(words: Iterable[bytes] = ()) -> dict:
+    """Numbers of words in the order of their first appearance, from 1; asking for a new word numbers it.  0 is padding."""
+    known = defaultdict(None, zip(chain([None], words), count()))
+    known.default_factory = known.__len__
+    return known
+
+
 class Scorer:
     """Scores texts in a worker; keeps the gate inputs of words it has met."""
 
     def __init__(self, network: Network):
         self.network = network
-        self.known: dict[bytes, int] = {}
-        self.gates = np.zeros((0, 6 * network.h), np.float32)
-
-    def rows(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """Rows of ``gates`` for the words of each text; row 0 is padding."""
-        if not len(self.gates) or len(self.known) > VOCABULARY:
-            self.known = {}
-            self.gates = np.zeros((1, 6 * self.network.h), np.float32)
-        new: dict[bytes, int] = {}
-        known, at = self.known, len(self.gates)
-        for words in texts:
-            for w in words:
-                if w not in known:
-                    known[w] = at
-                    new[w] = at
-                    at += 1
-        if new:
-            self.gates = np.concatenate([self.gates, self.network.projected(list(new))])
-        return [np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in texts]
+        self.known = numbers()
+        self.gates = np.zeros((1, 6 * network.h), np.float32)
+        self.met = np.zeros(1, np.int32)
+
+    def forget(self) -> None:
+        """Keeps the words met most often, a quarter of the vocabulary at most: most words are met once only."""
+        often = np.flatnonzero(self.met[1 : len(self.known)] > 1) + 1
+        often = np.sort(often[np.argsort(-self.met[often], kind="stable")[: VOCABULARY // 4]])
+        words = list(self.known)
+        self.known = numbers(words[i] for i in often)
+        for kept in (self.gates, self.met):
+            kept[1 : len(often) + 1] = kept[often]
+        self.met[1 : len(often) + 1] //= 2
+        self.met[len(often) + 1 :] = 0
+
+    def rows(self, texts: list[list[bytes]]) -> np.ndarray:
+        """Rows of ``gates`` for the words of all texts; a text without words is one row of padding, row 0."""
+        if len(self.known) > VOCABULARY:
+            self.forget()
+        known, before = self.known, len(self.known)
+        found = np.fromiter(map(known.__getitem__, chain.from_iterable(t or [None] for t in texts)), np.int32)
+        if len(known) > before:
+            if len(known) > len(self.gates):  # room for as many again: a copy for each part would cost more than its words
+                more = 2 * len(known) - len(self.gates)
+                self.gates, self.met = np.pad(self.gates, ((0, more), (0, 0))), np.pad(self.met, (0, more))
+            self.gates[before : len(known)] = self.network.projected(list(islice(known, before, None)))
+        self.met[: len(known)] += np.bincount(found, minlength=len(known)).astype(np.int32)
+        return found
 
     def features(self, texts: list[list[bytes]]) -> np.ndarray:
         """(highest window logit, mean of the three highest, log of the windows' number) of each text."""
-        rows = [r if len(r) else np.zeros(1, np.int64) for r in self.rows(texts)]
-        starts = [np.arange(max(1, len(r) - LENGTH + 1)) for r in rows]
-        of = np.repeat(np.arange(len(rows)), [len(s) for s in starts])
-        logits = np.empty(len(of), np.float32)
-        flat = np.concatenate(rows)
-        base = np.cumsum([0, *(len(r) for r in rows[:-1])])
-        lengths = np.array([len(r) for r in rows])
-        begin = base[of] + np.concatenate(starts)
+        flat = self.rows(texts)
+        lengths = np.array([len(t) or 1 for t in texts])
+        base = np.cumsum(lengths) - lengths
+        counts = np.maximum(1, lengths - LENGTH + 1)
+        begins = np.cumsum(counts) - counts
+        of = np.repeat(np.arange(len(texts)), counts)
+        begin = np.arange(len(of)) + (base - begins)[of]
         size = np.minimum(lengths, LENGTH)[of]
         full = size == LENGTH
+        logits = np.empty(len(of), np.float32)
         if full.any():
             every = np.empty(len(flat) - LENGTH + 1, np.float32)
             for part in slices(len(every), PASS):  # windows across two texts are not looked at
@@ -98,14 +119,13 @@ class Scorer:
             mask = steps < size[chosen]
             ids = np.where(mask, flat[np.minimum(begin[chosen] + steps, len(flat) - 1)], 0)
             logits[chosen] = self.network.logits(self.gates[ids], mask)
-        order = np.lexsort((-logits, of))
-        ordered = logits[order]
-        counts = np.bincount(of, minlength=len(rows))
-        ends = np.cumsum(counts)
-        begins = ends - counts
-        top = ordered[begins]
-        three = np.mean([ordered[np.minimum(begins + i, ends - 1)] for i in range(3)], axis=0)
-        return np.stack([top, three, np.log(counts)], axis=1).astype(np.float64)
+        top = []
+        for i in range(3):
+            best = np.maximum.reduceat(logits, begins)
+            top.append(best if i == 0 else np.where(counts > i, best, top[-1]))
+            at = np.flatnonzero(logits == best[of])  # of each text's best the first is taken out
+            logits[at[np.flatnonzero(np.diff(of[at], prepend=-1))]] = -np.inf
+        return np.stack([top[0], np.mean(top, axis=0), np.log(counts)], axis=1).astype(np.float64)
 
 
 def parts(texts: list[bytes | None]) -> list[list[bytes | None]]:
@@ -179,23 +199,14 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, samp
     return found.join(F.broadcast(chosen), "id").select("id", "toxic", "text"), counts
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, epochs: int = EPOCHS, seed: int = 1
-) -> Model:
-    """Learns from the rows of ``labels`` that are not held out, a null label counting as none.
-
-    Repeated labels of a document count as toxic if one of them does.  With only one label to learn
-    from, all texts score the share of toxic labels.
-    """
-    picked, counts = sampled(docs, labels, id_col, text_col, sample, sample_bytes)
-    rows = picked.toArrow().sort_by("id").combine_chunks()
+def trained(rows: pa.Table, seed: int, epochs: int) -> tuple[dict, list[str], dict[int, int]] | None:
+    """The network's weights, the ids whose texts calibrate and the texts of either label; nothing without both labels."""
+    rows = rows.sort_by("id").combine_chunks()
     texts = utf8(rows.column("text").combine_chunks())
     found = [(i, toxic, k) for k, (i, toxic) in enumerate(zip(rows.column("id").to_pylist(), rows.column("toxic").to_pylist(), strict=True)) if texts[k].split(None, 1)]
     y = np.array([x[1] for x in found])
-    network = Network(seed=seed)
-    n = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     if len(found) == 0 or y.min() == y.max():
-        return Model(network, Constant(counts.get(1, 0) / max(1, sum(counts.values()))))
+        return None
     place = np.empty(len(y), np.int64)  # within its label: every third text calibrates
     for k in (0, 1):
         place[y == k] = np.arange((y == k).sum())
@@ -204,9 +215,34 @@ def fit(
         learn = np.ones(len(y), bool)
     vocabulary: dict[bytes, int] = {}
     learned = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in read_words(texts[found[i][2]])], np.int32) for i in np.flatnonzero(learn)]
+    network = Network(seed=seed)
     train(network, learned, list(vocabulary), y[learn].astype(np.float32), length=LENGTH, epochs=epochs)
     kept = np.arange(len(y)) if learn.all() else np.flatnonzero(~learn)
-    calibrates = {found[i][0] for i in kept}
+    return network.p, [found[i][0] for i in kept], {k: int((y == k).sum()) for k in (0, 1)}
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, epochs: int = EPOCHS, seed: int = 1
+) -> Model:
+    """Learns from the rows of ``labels`` that are not held out, a null label counting as none.
+
+    Repeated labels of a document count as toxic if one of them does.  With only one label to learn
+    from, all texts score the share of toxic labels.  The network is trained in one task: the driver gets its weights, not the texts.
+    """
+    picked, counts = sampled(docs, labels, id_col, text_col, sample, sample_bytes)
+
+    def learn(batches):
+        given = list(batches)
+        found = trained(pa.Table.from_batches(given), seed, epochs) if given else None
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found)], pa.binary())], names=["found"])
+
+    told = picked.coalesce(1).mapInArrow(learn, "found binary").collect()
+    network = Network(seed=seed)
+    if not told:
+        return Model(network, Constant(counts.get(1, 0) / max(1, sum(counts.values()))))
+    network.p, calibrates, n = pickle.loads(told[0]["found"])
+    calibrates = set(calibrates)
     weight = {k: counts.get(k, 1) / n[k] for k in (0, 1)}
     ids = Sent(picked.sparkSession, calibrates)
     sent = Sent(picked.sparkSession, network)

@@ -375,3 +375,27 @@ def test_quality_learns_from_different_texts(spark, monkeypatch):
     assert len(taken[0][0]) == 20 and taken[0] == taken[1]
     weak_labels.fit_quality(docs.unionByName(crowd), sample=60)
     assert taken[2][1] == [1] * 37 + [weak_labels.MOST] * 3
+
+
+def test_toxicity_trains_in_a_task(spark, monkeypatch):
+    """The sampled texts don't pass the driver."""
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: pytest.fail("texts on the driver"))
+    docs = spark.createDataFrame([(i, f"plain words of number {i}" + " vile" * (i % 2)) for i in range(60)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    found = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, toxicity.fit(docs, labels, epochs=40)).collect()}
+    assert sum(found[i] for i in range(1, 60, 2)) > sum(found[i] for i in range(0, 60, 2))
+
+
+def test_toxicity_scorer_forgets_and_keeps_scores(monkeypatch):
+    """Words met often stay, the others are projected anew: a word's gate inputs are a copy at most, whatever was dropped."""
+    network = toxicity.Network(seed=2)
+    texts = [[[b"w%d" % (k * 7 + i) for i in range(30)] + [b"the", b"of"] * 5] for k in range(12)]
+    monkeypatch.setattr(toxicity, "VOCABULARY", 40)
+    scorer = toxicity.Scorer(network)
+    for own in texts:
+        assert np.allclose(scorer.features(own), toxicity.Scorer(network).features(own), atol=1e-6)
+        assert len(scorer.known) <= 40 + 32
+    assert {b"the", b"of"} <= set(scorer.known)
+    assert np.allclose(scorer.gates[scorer.known[b"the"]], network.projected([b"the"])[0], atol=1e-6)
