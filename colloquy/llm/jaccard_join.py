@@ -250,7 +250,7 @@ def cells_of(held: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def root_links(linked: DataFrame) -> DataFrame:
-    """a and b: each class with the least root that its cells gave it, and that root with their other roots."""
+    """a and b: each class with the least root that its cells (or buckets) gave it, and that root with their other roots."""
     least = F.min("root").over(Window.partitionBy("rep"))
     told = linked.select("rep", "root", least.alias("least"))
     links = told.select(F.explode(F.array(F.struct(F.col("rep").alias("a"), F.col("least").alias("b")), F.struct(F.col("root").alias("a"), F.col("least").alias("b")))).alias("x"))
@@ -286,7 +286,7 @@ def jaccard_classes(
     classes = cut_lineage(classes.select("set", F.xxhash64("set").alias("rep"), F.col("x.doc").alias("doc"), F.col("x.text_code").alias("text_code"), "copies", "size", "bands"))
 
     held = cut_lineage(bucket_members(classes))
-    clusters = components(held.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
+    clusters = components(root_links(held.select("rep", F.col("least").alias("root"))))
     stars = held.groupBy("rep").agg(F.min("least").alias("star"))
     members = classes.join(clusters.withColumnRenamed("node", "rep"), "rep").join(stars, "rep")
     members = cut_lineage(in_blocks(members.select("doc", "text_code", "rep", "copies", "size", F.col("root").alias("cluster"), "star"), block, block_shingles))
