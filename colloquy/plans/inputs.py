@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import strip
 from colloquy.operators.parse import with_clock
 from colloquy.schema import SPEAKER, MergeOptions
+from colloquy.sources.scratch import scratch
 
 #: Events of a user count as one segment up to six hours apart.
 EVENT_MERGE = MergeOptions(time_tolerance=21600.0)
@@ -60,21 +59,6 @@ def raw_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["line"]), "\n").alias("text"))
 
 
-def scratch(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder that the driver and all executors see; it goes when the session's JVM ends."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{named.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(place)
-    fs.deleteOnExit(place)
-    return path
-
-
 def labelled_files(spark: SparkSession, sf_dir: str) -> str:
     """A folder with a file of labelled turns for each conversation, under a folder named by its id."""
     folder = scratch(spark, "files") + "/[labelled] 100%"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql.types import StringType, StructType
 from colloquy.functions.text import byte_order_mark, decoded
 from colloquy.schema import ConfigurationError
 from colloquy.sources.discovery import FileFilter, as_pattern, file_lengths, files_reader, unscanned
+from colloquy.sources.scratch import scratch
 
 NATIVE = ("utf-8", "utf-8-sig", "utf-16-le", "utf-16-be")
 
@@ -19,6 +21,10 @@ NATIVE = ("utf-8", "utf-8-sig", "utf-16-le", "utf-16-be")
 SAMPLE = 65_536
 CONFIDENCE = 0.7
 
+#: Paths of a list that the driver holds at once.
+PATHS = 5_000
+CONTENTS = "key string, content binary, n long"
+
 # Encodings that are tried on bytes that aren't UTF-8, each with the characters that speak for it.
 GUESSES = (
     ("euc-kr", ((0xAC00, 0xD7A3),)),
@@ -92,23 +98,39 @@ def _key(path: str) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
+def _contents(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """key, content and length (n) of the files that are there.
+
+    A list of paths costs the driver memory for as long as its table is in use.  A longer one than ``PATHS`` is read
+    in turns, each put into one table of the shared folder before the next is asked for.
+    """
+    wanted = files.toLocalIterator()
+    turns = iter(lambda: [r["path"] for r in islice(wanted, PATHS)], [])
+    table = None
+    for turn in turns:
+        paths = [as_pattern(p) for p, n in zip(turn, file_lengths(spark, turn), strict=True) if n is not None]  # a missing one would end the read
+        if not paths:
+            continue
+        part = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(paths).select(_key("path").alias("key"), "content", F.col("length").alias("n"))
+        if table is None and len(turn) < PATHS:
+            return part
+        table = table or scratch(spark, "contents") + "/table"
+        part.write.mode("append").parquet(table)
+    return spark.read.schema(CONTENTS).parquet(table) if table else spark.createDataFrame([], CONTENTS)
+
+
 def read_texts(spark: SparkSession, files: DataFrame | list[str], encoding: str | None = None) -> DataFrame:
     """doc_id (the path), text, encoding and length of files; a file that can't be read has an error instead of a text.
 
     ``files``: paths, or a DataFrame with ``path``, ``length``, of which empty files get an empty text, and perhaps ``encoding``.
     Paths are taken as they are, whatever characters they have.  They pass the driver, as any list of paths to Spark
-    does; ``scan_texts`` reads folders without that.
+    does, but no more than ``PATHS`` at once; ``scan_texts`` reads folders without that.
     """
     if isinstance(files, list):
         files = spark.createDataFrame(list(zip(files, file_lengths(spark, files), strict=True)), "path string, length long")
     told = F.col("encoding") if "encoding" in files.columns else F.lit(None).cast("string")
     listed = files.select("path", "length", told.alias("told"), _key("path").alias("key"))
-    wanted = [r["path"] for r in listed.where("length > 0").select("path").distinct().toLocalIterator()]
-    paths = [as_pattern(p) for p, n in zip(wanted, file_lengths(spark, wanted), strict=True) if n is not None]  # a missing one would end the read
-    if paths:
-        found = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(paths).select(_key("path").alias("key"), "content", F.col("length").alias("n"))
-    else:
-        found = spark.createDataFrame([], "key string, content binary, n long")
+    found = _contents(spark, listed.where("length > 0").select("path").distinct())
     joined = decode_contents(listed.withColumnRenamed("told", "encoding").join(found, "key", "left"), encoding)
     return _finished(joined, F.col("content").isNull() & (F.coalesce("length", F.lit(1)) > 0))
 

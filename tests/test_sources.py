@@ -1,4 +1,5 @@
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 
@@ -138,3 +139,22 @@ def test_config(tmp_path, spark):
     path.write_text("analysis_period: {start: 2025-13-01, end: 2025-12-31}")
     with pytest.raises(ConfigurationError):
         config.load(path)
+
+
+def test_long_lists_of_paths_are_read_in_turns(spark, tmp_path, monkeypatch):
+    """No read gets more paths than the driver is to hold; files, missing ones and empty ones come out as from one list."""
+    from pyspark.sql import DataFrameReader
+
+    from colloquy.sources import reader
+
+    paths = [str(tmp_path / f"{i} [x]{{y}}.txt") for i in range(23)]
+    for i, path in enumerate(paths):
+        if i % 5 < 4:
+            Path(path).write_text(f"text {i}" if i % 7 else "")
+    at_once = {tuple(r) for r in reader.read_texts(spark, paths).collect()}
+    asked, load = [], DataFrameReader.load
+    monkeypatch.setattr(DataFrameReader, "load", lambda self, path=None, *a, **k: asked.append(len(path)) or load(self, path, *a, **k))
+    monkeypatch.setattr(reader, "PATHS", 4, raising=False)
+    assert {tuple(r) for r in reader.read_texts(spark, paths).collect()} == at_once
+    assert len(asked) > 1 and max(asked) <= 4
+    assert {r[4] is not None for r in at_once} == {True, False} and len(at_once) == 23
