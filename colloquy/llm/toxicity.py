@@ -55,9 +55,8 @@ def read_words(text: bytes | None) -> list[bytes]:
 
 def numbers(words: Iterable[bytes] = ()) -> dict:
     """Numbers of words in the order of their first appearance, from 1; asking for a new word numbers it.  0 is padding."""
-    known = defaultdict(None, zip(chain([None], words), count()))
-    known.default_factory = known.__len__
-    return known
+    known = dict(zip(chain([None], words), count()))
+    return defaultdict(count(len(known)).__next__, known)  # a factory that held the table itself would outlive it until a collection
 
 
 class Scorer:

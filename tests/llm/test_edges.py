@@ -399,3 +399,10 @@ def test_toxicity_scorer_forgets_and_keeps_scores(monkeypatch):
         assert len(scorer.known) <= 40 + 32
     assert {b"the", b"of"} <= set(scorer.known)
     assert np.allclose(scorer.gates[scorer.known[b"the"]], network.projected([b"the"])[0], atol=1e-6)
+
+
+def test_toxicity_vocabulary_is_no_cycle():
+    """A vocabulary that is dropped goes at once, not with the next collection: what numbers new words doesn't hold it."""
+    known = toxicity.numbers([b"a", b"b"])
+    assert [known[w] for w in (None, b"b", b"c", b"a", b"c", b"d")] == [0, 2, 3, 1, 3, 4]
+    assert known.default_factory.__self__ is not known
