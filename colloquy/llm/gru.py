@@ -12,11 +12,16 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from colloquy.llm.common import slices
+
 GRAMS = (3, 4, 5)
 
 #: Words whose n-grams are found at a time: few enough for a processor's own cache.
 WORDS = 3_000
 
+#: n-grams of a word that are added in turns with those of other words; the rest of a longer one is added at once.
+TURNS = 96
+
 #: Windows of a text that a step draws, and how often one more is a word of a text with label 0 over and over: repeating
 #: an ordinary word doesn't change the label, but states drift far from those of prose on it.
 DRAWN = 8
@@ -70,6 +75,27 @@ def gram_means(table: np.ndarray, rows: np.ndarray, turns: np.ndarray) -> np.nda
     return out
 
 
+def gram_means_by_turn(table: np.ndarray, rows: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """``gram_means``, adding the first rows of all words, then the second ones, and so on: faster, and rounded otherwise."""
+    n_words = len(turns) - 1
+    out = np.empty((n_words, table.shape[1]), np.float32)
+    for at in range(0, n_words, WORDS):
+        begin = turns[at : at + WORDS + 1]
+        counts = np.diff(begin)
+        order = np.argsort(-counts, kind="stable")  # those that still have rows stand first
+        begin, falling = begin[order], -counts[order]
+        sums = table[rows[begin]]
+        n = len(order)
+        for i in range(1, min(int(counts.max()), TURNS)):
+            n = int(np.searchsorted(falling, -i))
+            sums[:n] += table.take(rows[begin[:n] + i], axis=0)
+        for k in range(int(np.searchsorted(falling, -TURNS))):
+            sums[k] += table[rows[begin[k] + TURNS : begin[k] - falling[k]]].sum(axis=0)
+        sums /= -falling[:, None].astype(np.float32)
+        out[at + order] = sums
+    return out
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -84,13 +110,16 @@ class Network:
             self.p[f"W{way}"], self.p[f"U{way}"], self.p[f"c{way}"] = draw(0.4, d, 3 * h), draw(0.3, h, 3 * h), np.zeros(3 * h, np.float32)
         self.seen = {k: np.full(v.shape, 1e-6, np.float32) for k, v in self.p.items()}
 
-    def inputs(self, words: list[bytes]) -> np.ndarray:
-        return self.p["words"][word_rows(words, len(self.p["words"]))] + gram_means(self.p["grams"], *gram_table(words, len(self.p["grams"])))
-
     def projected(self, words: list[bytes]) -> np.ndarray:
-        """What the words add to the gates of both layers, side by side."""
-        x = self.inputs(words)
-        return np.concatenate([x @ self.p["Wf"] + self.p["cf"], x @ self.p["Wb"] + self.p["cb"]], axis=1)
+        """What windows need to know of the words: their inputs, and a one that takes the gates' biases."""
+        grams = gram_means_by_turn(self.p["grams"], *gram_table(words, len(self.p["grams"])))
+        out = np.ones((len(words), grams.shape[1] + 1), np.float32)
+        np.add(self.p["words"][word_rows(words, len(self.p["words"]))], grams, out=out[:, :-1])
+        return out
+
+    def weights(self, way: str) -> np.ndarray:
+        """From rows of ``projected`` to the gates of a layer."""
+        return np.concatenate([self.p[f"W{way}"], self.p[f"c{way}"][None]])
 
     def layer(self, a: np.ndarray, mask: np.ndarray | None, way: str, keep: list | None = None) -> np.ndarray:
         """States (time, window, h) for gate inputs a (time, window, 3h)."""
@@ -113,46 +142,62 @@ class Network:
             states[t] = state = out
         return states
 
-    def logits(self, a: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
-        """Of windows, from gate inputs (time, window, 6h)."""
-        h3 = 3 * self.h
-        states = np.concatenate([self.layer(a[:, :, :h3], mask, "f"), self.layer(a[:, :, h3:], mask, "b")], axis=2)
+    def logits(self, x: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
+        """Of windows, from rows of ``projected`` (time, window, d + 1)."""
+        return self.logits_of_gates({way: x @ self.weights(way) for way in "fb"}, mask)
+
+    def logits_of_gates(self, a: dict[str, np.ndarray], mask: np.ndarray | None) -> np.ndarray:
+        states = np.concatenate([self.layer(a[way], mask, way) for way in "fb"], axis=2)
         return self.pooled(states, mask)[0]
 
-    def every_logit(self, a: np.ndarray, length: int) -> np.ndarray:
-        """Of the windows from every word of a row of words; a: gate inputs (6h, words), words side by side in memory.
+    def every_logit(self, x: np.ndarray, length: int) -> np.ndarray:
+        """Of the windows from every word of a row of words; x: rows of ``projected`` turned, words side by side in memory.
 
         A sigmoid is one over one plus an exponential, whose sign the weights take, so that gates divide; the attention's rows
-        are in the matrix that gives the next step's gates.  Few passes over short arrays: memory sets the pace.
+        are in the matrix that gives the next step's gates.  The first step comes from an empty state, which leaves nothing
+        to reset, and the last one gives no gates.  Few passes over short arrays: memory sets the pace.
         """
-        n, h = a.shape[1] - length + 1, self.h
-        e, q = np.zeros((length, n), np.float32), np.zeros((length, n), np.float32)
+        n, h = x.shape[1] - length + 1, self.h
+        e, q = np.empty((length, n), np.float32), np.empty((length, n), np.float32)
         g, state = np.empty((3 * h + 2, n), np.float32), np.empty((h, n), np.float32)
-        z, zr, new = g[:h], g[: 2 * h], g[2 * h : 3 * h]
+        z, zr, new, told = g[:h], g[: 2 * h], g[2 * h : 3 * h], g[3 * h :]
         sign = np.repeat(np.float32([-1, 1]), [2 * h, h])
         with np.errstate(over="ignore"):  # a gate that is shut divides by infinity
             for i, way in enumerate("fb"):
                 u = np.concatenate([self.p[f"U{way}"].T * sign[:, None], self.p["v"][None, i * h : (i + 1) * h], self.p["w"][None, i * h : (i + 1) * h]])
-                own = a[i * 3 * h : (i + 1) * 3 * h] * sign[:, None]
+                own = np.ascontiguousarray((self.weights(way) * sign).T) @ x
                 steps = range(length) if way == "f" else range(length - 1, -1, -1)
-                state[:] = 0
-                g[:] = 0
                 for t in steps:
                     at = own[:, t : t + n]
-                    zr += at[: 2 * h]
-                    np.exp(zr, out=zr)
-                    zr += 1
-                    new /= g[h : 2 * h]
-                    new += at[2 * h :]
-                    np.tanh(new, out=new)
-                    state -= new
-                    state /= z
-                    state += new
-                    np.matmul(u, state, out=g)
-                    e[t] += g[3 * h]
-                    q[t] += g[3 * h + 1]
-        e = np.exp(e - e.max(axis=0))
-        return (e * q).sum(axis=0) / e.sum(axis=0) + self.p["b"][0]
+                    if t == steps[0]:
+                        np.exp(at[:h], out=z)
+                        z += 1
+                        np.tanh(at[2 * h :], out=new)
+                        np.divide(new, z, out=state)
+                        np.subtract(new, state, out=state)
+                    else:
+                        zr += at[: 2 * h]
+                        np.exp(zr, out=zr)
+                        zr += 1
+                        new /= g[h : 2 * h]
+                        new += at[2 * h :]
+                        np.tanh(new, out=new)
+                        state -= new
+                        state /= z
+                        state += new
+                    if t == steps[-1]:
+                        np.matmul(u[3 * h :], state, out=told)
+                    else:
+                        np.matmul(u, state, out=g)
+                    if i == 0:
+                        e[t], q[t] = told
+                    else:
+                        e[t] += told[0]
+                        q[t] += told[1]
+        e -= e.max(axis=0)
+        np.exp(e, out=e)
+        q *= e
+        return q.sum(axis=0) / e.sum(axis=0) + self.p["b"][0]
 
     def pooled(self, states: np.ndarray, mask: np.ndarray | None):
         e = states @ self.p["v"]
@@ -209,11 +254,18 @@ class Network:
         self.p[key][at] -= rate * gradient / np.sqrt(self.seen[key][at])
 
 
-def train(network: Network, texts: list[np.ndarray], words: list[bytes], labels: np.ndarray, *, length: int, epochs: int, rate: float = 0.05, batch: int = 64, decay: float = 1e-3, smooth: float = 0.02, seed: int = 3) -> None:
-    """Fits the network to whole texts (numbers of their ``words``, none empty), each with a label."""
+class Words:
+    """What training looks up for numbered words: their rows of the word table and of the n-gram table."""
+
+    def __init__(self, network: Network, words: list[bytes]):
+        self.rows = word_rows(words, len(network.p["words"])).astype(np.int32)
+        self.grams, self.turns = gram_table(words, len(network.p["grams"]))
+
+
+def train(network: Network, texts: list[np.ndarray], words: Words, labels: np.ndarray, *, length: int, epochs: int, rate: float = 0.05, batch: int = 64, decay: float = 1e-3, smooth: float = 0.02, seed: int = 3) -> None:
+    """Fits the network to whole texts (numbers of ``words``, none empty), each with a label."""
     rng = np.random.default_rng(seed)
-    own_rows = word_rows(words, len(network.p["words"]))
-    grams, turns = gram_table(words, len(network.p["grams"]))
+    own_rows, grams, turns = words.rows, words.grams, words.turns
     counts = np.diff(turns)
     positive, negative = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
     half = batch // 2
@@ -224,14 +276,17 @@ def train(network: Network, texts: list[np.ndarray], words: list[bytes], labels:
             ids[: len(x), i] = x
         return ids, ids >= 0
 
-    def gates_of(x: np.ndarray) -> np.ndarray:
-        return np.concatenate([x @ network.p["Wf"] + network.p["cf"], x @ network.p["Wb"] + network.p["cb"]], axis=-1)
+    def gates_of(x: np.ndarray) -> dict[str, np.ndarray]:
+        return {way: x @ network.p[f"W{way}"] + network.p[f"c{way}"] for way in "fb"}
 
     per_epoch = max(1, len(texts) // batch)
     for step in range(epochs * per_epoch):
         picked = np.concatenate([rng.choice(positive, half), rng.choice(negative, half)])
         if step % per_epoch == 0:
-            x_all = network.p["words"][own_rows] + gram_means(network.p["grams"], grams, turns)
+            x_all = None  # the last epoch's goes before this one's comes
+            x_all = gram_means(network.p["grams"], grams, turns)
+            for part in slices(len(x_all), WORDS):
+                x_all[part] += network.p["words"][own_rows[part]]
         used = []
         for i in picked:
             drawn = rng.integers(0, max(1, len(texts[i]) - length + 1), DRAWN)
@@ -239,7 +294,7 @@ def train(network: Network, texts: list[np.ndarray], words: list[bytes], labels:
             if labels[i] == 0 and rng.random() < ECHOED:
                 used[-1].append(np.full(length, rng.choice(texts[i]), texts[i].dtype))
         ids, mask = laid([w for u in used for w in u])
-        z = network.logits(gates_of(x_all[ids] * mask[:, :, None]), mask)
+        z = network.logits_of_gates(gates_of(x_all[ids] * mask[:, :, None]), mask)
         best, at = [], 0
         for u in used:
             best.append(u[int(np.argmax(z[at : at + len(u)]))])

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from colloquy.llm.common import Sent, arrow_map, cut_lineage, slices, table, utf8
-from colloquy.llm.gru import Network, sigmoid, train
+from colloquy.llm.gru import Network, Words, sigmoid, train
 
 LENGTH = 24
 SAMPLE = 2_500
@@ -36,7 +36,7 @@ SAMPLE_BYTES = 8_000_000
 EPOCHS = 24
 CUT = 0.3
 
-#: Words whose gate inputs a worker keeps, and windows in a pass through the network.
+#: Words whose inputs a worker keeps, and windows in a pass through the network.
 VOCABULARY = 150_000
 PASS = 4_096
 #: Bytes of text whose windows are laid out at once, if not of one longer text.
@@ -60,12 +60,12 @@ def numbers(words: Iterable[bytes] = ()) -> dict:
 
 
 class Scorer:
-    """Scores texts in a worker; keeps the gate inputs of words it has met."""
+    """Scores texts in a worker; keeps what the network needs of words it has met."""
 
     def __init__(self, network: Network):
         self.network = network
         self.known = numbers()
-        self.gates = np.zeros((1, 6 * network.h), np.float32)
+        self.gates = np.zeros_like(network.projected([b"a"]))  # what words bring to the gates; row 0, padding, brings nothing
         self.met = np.zeros(1, np.int32)
 
     def forget(self) -> None:
@@ -108,7 +108,7 @@ class Scorer:
         if full.any():
             every = np.empty(len(flat) - LENGTH + 1, np.float32)
             for part in slices(len(every), PASS):  # windows across two texts are not looked at
-                inputs = np.ascontiguousarray(self.gates[flat[part.start : part.stop + LENGTH - 1]].T)
+                inputs = np.ascontiguousarray(self.gates.take(flat[part.start : part.stop + LENGTH - 1], axis=0).T)
                 every[part] = self.network.every_logit(inputs, LENGTH)
             logits[full] = every[begin[full]]
         where = np.flatnonzero(~full)
@@ -212,10 +212,11 @@ def trained(rows: pa.Table, seed: int, epochs: int) -> tuple[dict, list[str], di
     learn = place % 3 != 2
     if not (y[learn] == 1).any() or not (y[~learn] == 1).any():
         learn = np.ones(len(y), bool)
-    vocabulary: dict[bytes, int] = {}
-    learned = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in read_words(texts[found[i][2]])], np.int32) for i in np.flatnonzero(learn)]
-    network = Network(seed=seed)
-    train(network, learned, list(vocabulary), y[learn].astype(np.float32), length=LENGTH, epochs=epochs)
+    network, vocabulary = Network(seed=seed), numbers()
+    learned = [np.fromiter(map(vocabulary.__getitem__, read_words(texts[found[i][2]])), np.int32) - 1 for i in np.flatnonzero(learn)]
+    words = Words(network, list(islice(vocabulary, 1, None)))
+    del rows, texts, vocabulary  # training needs numbers alone, and takes longer than all else
+    train(network, learned, words, y[learn].astype(np.float32), length=LENGTH, epochs=epochs)
     kept = np.arange(len(y)) if learn.all() else np.flatnonzero(~learn)
     return network.p, [found[i][0] for i in kept], {k: int((y == k).sum()) for k in (0, 1)}
 
@@ -230,9 +231,10 @@ def fit(
     """
     picked, counts = sampled(docs, labels, id_col, text_col, sample, sample_bytes)
 
+    schema = pa.schema([("id", pa.string()), ("toxic", pa.int32()), ("text", pa.string())])
+
     def learn(batches):
-        given = list(batches)
-        found = trained(pa.Table.from_batches(given), seed, epochs) if given else None
+        found = trained(pa.Table.from_batches((b.cast(schema) for b in batches), schema), seed, epochs)  # no name here holds the texts
         if found is not None:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found)], pa.binary())], names=["found"])
 
@@ -276,12 +278,13 @@ def score_toxicity(docs: DataFrame, model: Model, *, text_col: str = "text", cut
     def scan(batch: pa.RecordBatch):
         if not scorer:
             scorer.append(Scorer(sent.value.network))
-        texts = utf8(batch.column(at))
-        scores = np.concatenate([sent.value.scored(scorer[0], part) for part in parts(texts)])
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(scores, pa.float64()), pa.array((scores >= cut).astype(np.int32), pa.int32())],
-            names=[*batch.schema.names, "score", "predicted"],
-        )
+        for some in slices(batch.num_rows, 1000):
+            rows = batch.slice(some.start, some.stop - some.start)
+            scores = np.concatenate([sent.value.scored(scorer[0], part) for part in parts(utf8(rows.column(at)))])
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns, pa.array(scores, pa.float64()), pa.array((scores >= cut).astype(np.int32), pa.int32())],
+                names=[*rows.schema.names, "score", "predicted"],
+            )
 
     return arrow_map(docs, scan, StructType([*docs.schema.fields, *StructType.fromDDL("score double, predicted int").fields]))
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontaminate, html_text, jaccard_join, mixing, substring_dedup, topk, toxicity, url_filter, warc, weak_labels
+from colloquy.llm import decontaminate, gru, html_text, jaccard_join, mixing, substring_dedup, topk, toxicity, url_filter, warc, weak_labels
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
@@ -401,6 +401,20 @@ def test_toxicity_scorer_forgets_and_keeps_scores(monkeypatch):
     assert np.allclose(scorer.gates[scorer.known[b"the"]], network.projected([b"the"])[0], atol=1e-6)
 
 
+def test_toxicity_keeps_inputs_not_gates():
+    """What is kept of a word is no wider than its input and a one; logits from it are the plain ones, word for word."""
+    network = toxicity.Network(seed=6)
+    words = [b"a" * n for n in (1, 2, 95, 96, 97, 98, 300)] + [b"w%d" % i for i in range(40)]
+    scorer = toxicity.Scorer(network)
+    rows = scorer.rows([words])
+    assert scorer.gates.shape[1] == network.p["grams"].shape[1] + 1 and not scorer.gates[0].any()
+    means = gru.gram_means(network.p["grams"], *gru.gram_table(words, len(network.p["grams"])))
+    assert np.allclose(scorer.gates[rows][:, :-1], network.p["words"][gru.word_rows(words, len(network.p["words"]))] + means, atol=1e-5)
+    every = network.every_logit(np.ascontiguousarray(scorer.gates[rows].T), 24)
+    one_by_one = [network.logits(scorer.gates[rows[s : s + 24]][:, None], np.ones((24, 1), bool))[0] for s in range(len(words) - 23)]
+    assert np.allclose(every, one_by_one, atol=1e-5)
+
+
 def test_toxicity_vocabulary_is_no_cycle():
     """A vocabulary that is dropped goes at once, not with the next collection: what numbers new words doesn't hold it."""
     known = toxicity.numbers([b"a", b"b"])
