@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from colloquy.llm.common import Sent, arrow_map, cut_lineage, slices, table, utf8
+from colloquy.llm.common import Sent, arrow_map, cut_lineage, give_back, slices, table, utf8
 from colloquy.llm.gru import Network, Words, sigmoid, train
 
 LENGTH = 24
@@ -216,6 +216,7 @@ def trained(rows: pa.Table, seed: int, epochs: int) -> tuple[dict, list[str], di
     learned = [np.fromiter(map(vocabulary.__getitem__, read_words(texts[found[i][2]])), np.int32) - 1 for i in np.flatnonzero(learn)]
     words = Words(network, list(islice(vocabulary, 1, None)))
     del rows, texts, vocabulary  # training needs numbers alone, and takes longer than all else
+    give_back()
     train(network, learned, words, y[learn].astype(np.float32), length=LENGTH, epochs=epochs)
     kept = np.arange(len(y)) if learn.all() else np.flatnonzero(~learn)
     return network.p, [found[i][0] for i in kept], {k: int((y == k).sum()) for k in (0, 1)}
@@ -234,6 +235,7 @@ def fit(
     schema = pa.schema([("id", pa.string()), ("toxic", pa.int32()), ("text", pa.string())])
 
     def learn(batches):
+        give_back()
         found = trained(pa.Table.from_batches((b.cast(schema) for b in batches), schema), seed, epochs)  # no name here holds the texts
         if found is not None:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found)], pa.binary())], names=["found"])

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -415,6 +416,17 @@ def test_toxicity_keeps_inputs_not_gates():
     assert np.allclose(every, one_by_one, atol=1e-5)
 
 
+def test_toxicity_trains_without_the_texts(monkeypatch):
+    """The sampled texts are freed before training, which outlasts all else in its task."""
+    held = []
+    monkeypatch.setattr(toxicity, "train", lambda *given, **named: held.append(pa.total_allocated_bytes()))
+    before = pa.total_allocated_bytes()
+    rows = 40
+    made = lambda: pa.table({"id": [str(i) for i in range(rows)], "toxic": pa.array([i % 2 for i in range(rows)], pa.int32()), "text": [f"w{i} " * 5_000 for i in range(rows)]})
+    assert toxicity.trained(made(), 1, 1)[2] == {0: rows // 2, 1: rows // 2}
+    assert held[0] - before < 100_000
+
+
 def test_toxicity_vocabulary_is_no_cycle():
     """A vocabulary that is dropped goes at once, not with the next collection: what numbers new words doesn't hold it."""
     known = toxicity.numbers([b"a", b"b"])
